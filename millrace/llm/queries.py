@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .quality import op7_quality
 from .sentencepiece_op import op10_sentencepiece
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
     return {
+        "op5_toxicity": op5_toxicity,
+        "op7_quality": op7_quality,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
