@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from .langid import op8_language
 from .quality import op7_quality
 from .sentencepiece_op import op10_sentencepiece
 from .toxicity import op5_toxicity
+from .urls import OP4_SQL, op4_url_filter
 
 
 def queries() -> dict:
     return {
+        "op4_url_filter": op4_url_filter,
         "op5_toxicity": op5_toxicity,
         "op7_quality": op7_quality,
+        "op8_language": op8_language,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_url_filter": OP4_SQL,
+    }
