@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from .langid import op8_language
+from .media import op9_media
 from .quality import op7_quality
 from .sentencepiece_op import op10_sentencepiece
 from .toxicity import op5_toxicity
 from .urls import OP4_SQL, op4_url_filter
+from .warc import op3_warc
 
 
 def queries() -> dict:
     return {
+        "op3_warc": op3_warc,
         "op4_url_filter": op4_url_filter,
         "op5_toxicity": op5_toxicity,
         "op7_quality": op7_quality,
         "op8_language": op8_language,
+        "op9_media": op9_media,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
