@@ -5,6 +5,7 @@ from __future__ import annotations
 from .langid import op8_language
 from .media import op9_media
 from .quality import op7_quality
+from .secrets import op2_secrets
 from .sentencepiece_op import op10_sentencepiece
 from .toxicity import op5_toxicity
 from .urls import OP4_SQL, op4_url_filter
@@ -13,6 +14,7 @@ from .warc import op3_warc
 
 def queries() -> dict:
     return {
+        "op2_secrets": op2_secrets,
         "op3_warc": op3_warc,
         "op4_url_filter": op4_url_filter,
         "op5_toxicity": op5_toxicity,
