@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontaminate
 from .langid import op8_language
 from .media import op9_media
 from .quality import op7_quality
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_url_filter": op4_url_filter,
         "op5_toxicity": op5_toxicity,
+        "op6_decontaminate": op6_decontaminate,
         "op7_quality": op7_quality,
         "op8_language": op8_language,
         "op9_media": op9_media,
