@@ -38,7 +38,7 @@ WINDOW = 64
 HALF = WINDOW // 2
 BLOCK = 256
 EXTRA = 32
-COSINE = 0.25
+COSINE = 0.2
 COVERAGE = 0.6
 ANSWER = 0.5
 LEAST = 5

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op6_decontaminate
 from .langid import op8_language
 from .media import op9_media
+from .minhash import op1_minhash
 from .quality import op7_quality
 from .secrets import op2_secrets
 from .sentencepiece_op import op10_sentencepiece
@@ -15,6 +16,7 @@ from .warc import op3_warc
 
 def queries() -> dict:
     return {
+        "op1_minhash": op1_minhash,
         "op2_secrets": op2_secrets,
         "op3_warc": op3_warc,
         "op4_url_filter": op4_url_filter,
