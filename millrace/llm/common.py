@@ -22,6 +22,14 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(FOLDS)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 # --------------------------------------------------------------------- scratch space
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -124,6 +132,29 @@ def collected_sample(sample: DataFrame) -> list[tuple[str, int]]:
     return [(text, y) for _, y, text in rows]
 
 
+# ------------------------------------------------------------------------------ sieve
+SIEVE_BITS = 1 << 26
+
+
+def sieve(rows: DataFrame, wanted: DataFrame, key: str, most: int = SIEVE_BITS) -> DataFrame:
+    """``rows`` without most of those whose integer key ``wanted`` lacks; a join must follow.
+
+    A bitmap of hashed keys is broadcast as 64-bit words, one row each.  It has 16 bits per key and never
+    more than ``most``, so the broadcast is bounded; beyond that it only lets more rows through.
+    """
+    n = wanted.select(key).count()
+    bits = min(most, max(1 << 12, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit(29)), F.lit(bits))
+    words = (
+        wanted.select(place.alias("_p"))
+        .groupBy(F.shiftrightunsigned("_p", 6).alias("_word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_bits"))
+    )
+    placed = rows.withColumn("_p", place).withColumn("_word", F.shiftrightunsigned("_p", 6))
+    hit = placed.join(F.broadcast(words), "_word").where(F.expr("(shiftrightunsigned(_bits, cast(_p & 63 as int)) & 1) = 1"))
+    return hit.select(*rows.columns)
+
+
 # ---------------------------------------------------------------------------- blocks
 def blocks(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) with at most ``most`` characters together, or one longer text; null is empty."""

@@ -1,18 +1,20 @@
 """Benchmark decontamination: latent semantic retrieval, then common subsequences and answers.
 
-Texts are lower-cased words; only the benchmark's words can count, so all others are one blank.
+Words are lower-cased runs without white space and ASCII punctuation; only the benchmark's words can count, so
+all others are one blank.
 
 1. One pass counts in how many passages of the corpus (``WINDOW`` words) each benchmark word stands: its idf.
+   Words of more than ``COMMON`` of all passages weigh nothing in the latent space; in step 3's checks they count.
 2. One pass sketches the Gram matrix of the TF-IDF passages, Y = A'A R with a random R, summed by the cluster
-   in slices of words.  Together with the benchmark's own passages, which must be in the range, a Nystrom
-   step turns the sketch into the leading right singular vectors: the latent space.
+   in slices of words.  A Nystrom step turns the sketch into the ``EXTRA`` leading right singular vectors; they
+   and the benchmark's own passages, which must be in the range, span the latent space.
 3. One pass slides windows of ``WINDOW`` words by half their length over every whole text, takes each window's
    cosine with every benchmark passage in the latent space, and checks the pairs of ``COSINE`` or more: the
    longest common subsequence of the item and the text around the window must have ``COVERAGE`` of the item's
    words, and of the item's answer (its rarest quarter of words) half must stand there.
 
 The benchmark is the stated query set: its words and passages are held by the driver and sent to the tasks in
-blocks of ``BLOCK`` passages, each with a latent space of its own; no size of the corpus enters what is sent.
+blocks of ``BLOCK`` passages, each with a latent space of its own (step 2 runs once); no size of the corpus enters what is sent.
 
 Edge cases: null and empty texts match nothing; items with fewer than ``LEAST`` words can't be told from
 ordinary text and never match; equal items match alike; repeated rows are kept and match alike; without items
@@ -22,9 +24,9 @@ or documents nothing matches.  The column ``matches`` is replaced, all others pa
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +39,20 @@ from . import common
 WINDOW = 64
 HALF = WINDOW // 2
 BLOCK = 256
-EXTRA = 32
-COSINE = 0.2
+EXTRA, OVER = 32, 16
+COSINE = 0.25
 COVERAGE = 0.6
 ANSWER = 0.5
 LEAST = 5
 SLICES = 16
 SEED = 11
-_WORD = re.compile(r"\w+")
+COMMON = 0.05
+#: White space and ASCII punctuation become spaces.
+_SPACED = bytes(i if i >= 128 or chr(i).isalnum() or i == 95 else 32 for i in range(256))
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def words(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -75,9 +79,9 @@ class Item:
 class Tokens:
     """Word ids of a block of texts, 0 for words that no benchmark item has."""
 
-    def __init__(self, texts: list[str], vocabulary: dict[str, int]):
+    def __init__(self, texts: list[str], vocabulary: dict[bytes, int], weight: np.ndarray | None = None):
         get = vocabulary.get
-        own = [np.array([get(w, 0) for w in words(t)], np.int32) for t in texts]
+        own = [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)) for w in map(words, texts)]
         self.start = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
         self.ids = np.concatenate(own) if own else np.zeros(0, np.int32)
         n = np.diff(self.start)
@@ -85,7 +89,7 @@ class Tokens:
         first = np.concatenate([[0], np.cumsum(halves)])[:-1]
         self.doc = np.repeat(np.arange(len(own)), halves)
         self.at = self.start[self.doc] + (np.arange(len(self.doc)) - first[self.doc]) * HALF  # where each half window begins
-        self.known = np.flatnonzero(self.ids)
+        self.known = np.flatnonzero(self.ids if weight is None else weight[self.ids])  # places of words that weigh something
         self.cut = np.searchsorted(self.known, self.at)
 
     def halves(self, values: np.ndarray) -> np.ndarray:
@@ -103,7 +107,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], at: int, most: int = 1 << 18):
 
 
 # ------------------------------------------------------------------------- statistics
-def passage_counts(docs: DataFrame, text: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+def passage_counts(docs: DataFrame, text: str, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """(number of passages with each word, number of passages) over all texts; words are added by the cluster."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -144,7 +148,7 @@ def _gram(own: Tokens, weighted: np.ndarray, weight: np.ndarray, out: np.ndarray
     out[ids[cut]] += np.add.reduceat(z[of[order]], cut, 0) * weight[ids[cut], None]
 
 
-def sketch(docs: DataFrame, text: str, vocabulary: dict[str, int], idf: np.ndarray, rank: int) -> np.ndarray:
+def sketch(docs: DataFrame, text: str, vocabulary: dict[bytes, int], idf: np.ndarray, rank: int) -> np.ndarray:
     """A'A R over all passages of all texts: one matrix of words x rank, added up in slices of words."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vocabulary, idf))
@@ -155,7 +159,7 @@ def sketch(docs: DataFrame, text: str, vocabulary: dict[str, int], idf: np.ndarr
         weighted = test_matrix(len(weight), rank) * weight[:, None]
         out = np.zeros((len(weight), rank), np.float32)
         for _, texts in _blocks(batches, 0):
-            _gram(Tokens(texts, own), weighted, weight, out)
+            _gram(Tokens(texts, own, weight), weighted, weight, out)
         yield pa.RecordBatch.from_pydict(
             {"slice": pa.array(range(SLICES), pa.int32()), "part": pa.array([out[k * step : (k + 1) * step].tobytes() for k in range(SLICES)], pa.binary())}
         )
@@ -192,7 +196,13 @@ def latent(y: np.ndarray, test: np.ndarray) -> np.ndarray:
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > max(values.max(), 0) * 1e-9
     root = y @ (vectors[:, keep] / np.sqrt(values[keep]))
-    return np.linalg.svd(root, full_matrices=False)[0].astype(np.float32)
+    return np.linalg.svd(root, full_matrices=False)[0]
+
+
+def spanned(*columns: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of all columns together."""
+    u, values, _ = np.linalg.svd(np.hstack(columns), full_matrices=False)
+    return u[:, values > 1e-6 * max(1e-12, float(values.max()))]
 
 
 # ----------------------------------------------------------------------------- search
@@ -200,17 +210,23 @@ def latent(y: np.ndarray, test: np.ndarray) -> np.ndarray:
 class Query:
     """A block of benchmark passages: ``space`` is idf times the latent vectors, ``passages`` have length 1 in it."""
 
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     idf: np.ndarray
     space: np.ndarray
     passages: np.ndarray
     item_of: list[int]
     items: list[Item]
 
+    def __post_init__(self):
+        self.sizes = np.array([len(x.ids) for x in self.items], np.int64)
+        self.member = np.zeros((len(self.items), len(self.idf)), bool)  # the words of each item
+        for row, x in zip(self.member, self.items, strict=True):
+            row[x.ids] = True
+
     def matches(self, texts: list[str]) -> list[list[tuple[int, float, float]]]:
         """Per text (item id, cosine, coverage) of each item that it holds, best window only."""
         out: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
-        t = Tokens(texts, self.vocabulary)
+        t = Tokens(texts, self.vocabulary, self.idf)
         if not len(t.known) or not self.items:
             return [[] for _ in texts]
         half = t.halves(self.space)
@@ -222,19 +238,22 @@ class Query:
         ok = np.flatnonzero((norm > 1e-6) & ~last)
         cos = (x[ok] @ self.passages.T) / norm[ok, None]
         w, p = np.nonzero(cos >= COSINE)
-        for i, q, c in zip(ok[w], p, cos[w, p], strict=True):
-            doc, k = int(t.doc[i]), self.item_of[q]
-            item = self.items[k]
-            n = len(item.ids)
-            a = max(t.start[doc], t.at[i] - n)
-            b = min(t.start[doc + 1], t.at[i] + WINDOW + n)
-            near = t.ids[a:b]
-            near = near[near > 0].tolist()
-            if len(item.answer.intersection(near)) < ANSWER * len(item.answer):
+        w, cos, item = ok[w], cos[w, p], np.array(self.item_of, np.int64)[p]
+        size = self.sizes[item]
+        begin = np.maximum(t.start[t.doc[w]], t.at[w] - size).tolist()
+        end = np.minimum(t.start[t.doc[w] + 1], t.at[w] + WINDOW + size).tolist()
+        least = np.ceil(COVERAGE * size - 1e-9).astype(np.int64).tolist()
+        for k, a, b, need, doc, c in zip(item.tolist(), begin, end, least, t.doc[w].tolist(), cos.tolist(), strict=True):
+            near, own = t.ids[a:b], self.items[k]
+            near = near[self.member[k][near]]
+            if len(near) < need:  # the common subsequence can't be longer
                 continue
-            share = lcs(item.ids, near) / n
-            if share >= COVERAGE and share > out[doc].get(item.item_id, (0.0, 0.0))[1]:
-                out[doc][item.item_id] = (float(c), share)
+            near = near.tolist()
+            if len(own.answer.intersection(near)) < ANSWER * len(own.answer):
+                continue
+            share = lcs(own.ids, near) / len(own.ids)
+            if share >= COVERAGE - 1e-9 and share > out[doc].get(own.item_id, (0.0, 0.0))[1]:
+                out[doc][own.item_id] = (c, share)
         return [[(k, c, s) for k, (c, s) in sorted(own.items())] for own in out]
 
 
@@ -247,6 +266,7 @@ def queries_of(docs: DataFrame, bench: DataFrame, text: str, item: str, item_tex
     vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, own in tokens for w in own}))}
     counts, passages = passage_counts(docs, text, vocabulary)
     idf = np.log((passages + 1) / (counts + 1)).clip(0).astype(np.float32)
+    idf[counts > COMMON * passages] = 0
     idf[0] = 0
     items, pieces = [], []
     for i, own in tokens:
@@ -256,28 +276,24 @@ def queries_of(docs: DataFrame, bench: DataFrame, text: str, item: str, item_tex
         parts = -(-len(ids) // WINDOW)
         for k in range(parts):
             pieces.append((len(items) - 1, ids[len(ids) * k // parts : len(ids) * (k + 1) // parts]))
-    out = []
+    out, leading = [], None
     for lo in range(0, len(pieces), block):
         own = pieces[lo : lo + block]
-        rank = min(len(idf), len(own) + EXTRA)
+        rank = min(len(idf), EXTRA + OVER)
         a = np.zeros((len(own), len(idf)))
         for k, (_, ids) in enumerate(own):
             np.add.at(a[k], ids, idf[ids])
-        y, test = sketch(docs, text, vocabulary, idf, rank), test_matrix(len(idf), rank)
-        # the benchmark's passages weigh as much as the corpus, so that the space holds all of them
-        scale = max(1.0, float(np.linalg.norm(y))) / max(1e-9, float(np.linalg.norm(a.T @ (a @ test))))
-        space = latent(y + 100 * scale * (a.T @ (a @ test)), test) * idf[:, None]
-        known = [vocab_sum(space, ids) for _, ids in own]
+        a /= np.maximum(1e-9, np.linalg.norm(a, axis=1, keepdims=True))
+        if leading is None:
+            leading = latent(sketch(docs, text, vocabulary, idf, rank), test_matrix(len(idf), rank))[:, :EXTRA]
+        space = (spanned(a.T, leading) * idf[:, None]).astype(np.float32)
+        known = [space[ids].sum(0) for _, ids in own]
         passages_ = np.array([v / max(1e-9, float(np.linalg.norm(v))) for v in known], np.float32)
         used = sorted({k for k, _ in own})
         out.append(Query(vocabulary, idf, space, passages_, [used.index(k) for k, _ in own], [items[k] for k in used]))
     return out
 
 
-def vocab_sum(space: np.ndarray, ids: list[int]) -> np.ndarray:
-    return space[ids].sum(0)
-
-
 MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("coverage", T.DoubleType())])
 
 
@@ -310,7 +326,8 @@ def find(
 
 def clean_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: documents that hold a benchmark item go; columns stay as they are."""
-    return find(docs, common.table(spark, sf_dir, "benchmark"), out="_matches").where(F.size("_matches") == 0).drop("_matches")
+    own = common.unused(docs, "matches")
+    return find(docs, common.table(spark, sf_dir, "benchmark"), out=own).where(F.size(own) == 0).drop(own)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
