@@ -179,7 +179,8 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mod
 def quality_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: documents that the classifier rejects go; columns stay as they are."""
     model = trained(docs, common.table(spark, sf_dir, "labels"))
-    return score(docs, model, out="_quality").where(F.col("_quality") >= THRESHOLD).drop("_quality")
+    own = common.unused(docs, "quality_score")
+    return score(docs, model, out=own).where(F.col(own) >= THRESHOLD).drop(own)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ Labelled findings are a table (before, candidate, after, label).  ``labelled_fin
 of usual forms in assignments against checksums, identifiers, numbers, paths and placeholders.
 
 Edge cases: a null text stays null and has no findings; an empty text has none; texts of any length are scanned
-whole; equal rows give equal findings; an empty table gives an empty result.  The columns ``findings`` and
-``text`` are replaced, all others pass through.
+whole; equal rows give equal findings; an empty table gives an empty result.  The column ``findings`` is
+replaced (and ``text`` by redaction), all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -153,8 +153,10 @@ def train(findings: DataFrame) -> str:
 # --------------------------------------------------------------------------- scanning
 def scan(docs: DataFrame, forest: str, text: str = "text", out: str = "findings") -> DataFrame:
     """``docs`` with an array of findings: start, before, candidate, after, score, secret."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    parts = docs.drop(out).withColumns({"_own": F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), "_between": F.split(t, CANDIDATE, -1)})
+    own = docs.drop(out)
+    row = F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("_row")  # so that no column can clash with those below
+    parts = own.select(row, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    parts = parts.select("_row", F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0)).alias("_own"), F.split("_t", CANDIDATE, -1).alias("_between"))
     # element i of _own stands between elements i and i + 1 of _between
     starts = F.aggregate(
         F.arrays_zip("_own", "_between"),
@@ -190,13 +192,14 @@ def scan(docs: DataFrame, forest: str, text: str = "text", out: str = "findings"
             *(y["x"][n].alias(n) for n in ("start", "before", "candidate", "after")), y["score"].alias("score"), (y["score"] >= 0.5).alias("secret")
         ),
     )
-    return parts.withColumn(out, final).drop("_own", "_between", "_starts", "_f")
+    return parts.select("_row.*", final.alias(out))
 
 
 def redact(docs: DataFrame, forest: str, text: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by a mark; other texts stay byte for byte."""
-    found = scan(docs, forest, text, "_findings")
-    secret = F.filter("_findings", lambda x: x["secret"])
+    findings = common.unused(docs, "findings")
+    found = scan(docs, forest, text, findings)
+    secret = F.filter(findings, lambda x: x["secret"])
     pieces = F.aggregate(
         secret,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("all")),
@@ -206,7 +209,7 @@ def redact(docs: DataFrame, forest: str, text: str = "text") -> DataFrame:
         ),
         lambda acc: F.concat(F.array_join(acc["all"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))),
     )
-    return found.withColumn(text, F.when(F.size(secret) > 0, pieces).otherwise(F.col(text))).drop("_findings")
+    return found.withColumn(text, F.when(F.size(secret) > 0, pieces).otherwise(F.col(text))).drop(findings)
 
 
 def secret_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
