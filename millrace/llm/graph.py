@@ -62,7 +62,9 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFram
     among its own and its neighbours', and follows that label's own label; rounds end when no label changes.
     Labels are written to the shared folder after each round, so a lost executor costs one round at most.
     """
-    e = scratch.keep(contracted(edges), f"{name}-edges")
+    # few tasks with many edges each contract best; their number follows the cluster, not the input's files
+    tasks = max(2, scratch.spark.sparkContext.defaultParallelism)
+    e = scratch.keep(contracted(edges.coalesce(tasks)), f"{name}-edges")
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.groupBy("a").agg(F.min("b").alias("m"))
     labels = scratch.keep(near.select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-0")
