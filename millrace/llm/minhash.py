@@ -36,7 +36,7 @@ CELL = 1 << 20
 TILE = 1 << 14
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _TABLE: dict[bytes, int] = {}
-_TABLE_WORDS = 1 << 20
+_TABLE_WORDS = 1 << 18
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -203,14 +203,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     # equal sets: the smallest id stands for all; partial aggregation makes a hot set one row per task
     reps = scratch.keep(found.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "reps")
 
-    rows = found.select("id", F.explode("keys").alias("key"), "digest")
-    rows = rows.join(reps.select(F.col("rep").alias("id"), F.col("digest").alias("_d")), "id").where(F.col("digest") == F.col("_d"))
-    rows = rows.select("id", "key").distinct()
+    kept = reps.select(F.col("rep").alias("id"), F.col("digest").alias("_d"))
+    picked = found.join(kept, "id").where(F.col("digest") == F.col("_d")).select("id", "keys")
+    picked = scratch.keep(picked, "picked")
+    rows = picked.select("id", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("m")).where("m > 1").select("key", "b")
     buckets = scratch.keep(buckets, "buckets")
     edges = rows.join(buckets, "key").where("id <> b").select(F.col("id").alias("a"), "b")
     coarse = graph.components(edges, scratch, "coarse")
-    scratch.drop("buckets")
+    scratch.drop("buckets", "picked")
 
     member = coarse.join(reps.select(F.col("rep").alias("node"), "n"), "node")
     weight = member.groupBy("component").agg(F.sum("n").alias("w"))
@@ -222,7 +223,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     cell = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda q: F.xxhash64("component", F.least("p", q), F.greatest("p", q)))
     cells = member.select(F.col("node").alias("id"), F.explode(cell).alias("cell"))
     cells = scratch.keep(cells, "cells")
-    texts = own.join(cells, "id").dropDuplicates(["id", "cell"]) if _repeated(found) else own.join(cells, "id")
+    some = common.sieve(own, cells, "id")  # most texts are in no group; they stay where they are
+    texts = some.join(cells.hint("merge"), "id")
+    if _repeated(found):
+        texts = texts.dropDuplicates(["id", "cell"])
     texts = texts.repartition("cell").sortWithinPartitions("cell")
     fine = graph.components(verified(texts, size, percent), scratch, "fine")
     scratch.drop("cells", "weight")
