@@ -59,7 +59,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     cps[~letter] = 32
     seen = np.concatenate([[0], np.cumsum(letter)])
     has = seen[end] > seen[start]
-    at, out = [], []
+    at, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for k in SIZES:
         m = len(cps) - k + 1
         if m <= 0:

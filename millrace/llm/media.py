@@ -92,8 +92,12 @@ def decode(media: bytes) -> tuple[np.ndarray, int | None]:
         raise ValueError("not a PNG")
     at, head, body, length = 8, None, [], None
     while True:
+        if at + 12 > len(media):
+            raise ValueError("the image ends early")
         size, kind = struct.unpack(">I4s", media[at : at + 8])
         data = media[at + 8 : at + 8 + size]
+        if at + 12 + size > len(media):
+            raise ValueError("the image ends early")
         if zlib.crc32(kind + data) != struct.unpack(">I", media[at + 8 + size : at + 12 + size])[0]:
             raise ValueError(f"checksum of {kind!r}")
         at += 12 + size
