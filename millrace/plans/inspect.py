@@ -17,9 +17,14 @@ def formatted(df: DataFrame, mode: str = "formatted") -> str:
     return out.getvalue()
 
 
+def _plan(df: DataFrame) -> str:
+    """The physical plan; of an adaptive one that has run, only the final plan."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def exchanges(df: DataFrame) -> list[str]:
     """The shuffles and broadcasts of the physical plan."""
-    return re.findall(r"\b(?:Broadcast)?Exchange [^\n]*", df._jdf.queryExecution().executedPlan().toString())
+    return re.findall(r"\b(?:Broadcast)?Exchange [^\n]*", _plan(df))
 
 
 def shuffles(df: DataFrame) -> int:
@@ -27,12 +32,12 @@ def shuffles(df: DataFrame) -> int:
 
 
 def pushed_filters(df: DataFrame) -> list[str]:
-    return re.findall(r"PushedFilters: \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString())
+    return re.findall(r"PushedFilters: \[([^\]]*)\]", _plan(df))
 
 
 def read_schema(df: DataFrame) -> list[str]:
     """The columns that each scan reads."""
-    return re.findall(r"ReadSchema: struct<([^>]*)>", df._jdf.queryExecution().executedPlan().toString())
+    return re.findall(r"ReadSchema: struct<([^>]*)>", _plan(df))
 
 
 def lineage(df: DataFrame) -> str:
