@@ -10,10 +10,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: Most rows and bytes of a batch that goes to a Python worker: with texts of some kB, Spark's own bound of rows
+#: means tens of MB for each of the copies that JVM and worker hold.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's batches for Python workers; smaller settings stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, through Spark's own reader (any file system)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +72,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/millrace-{label}-{uuid.uuid4().hex[:12]}"
         path, fs = self._fs(self.root)

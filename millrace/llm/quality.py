@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-MAX_ROWS = 6000
+MAX_ROWS = 4000
 THRESHOLD = 0.3
 _P = np.uint32(0x01000193)
 _POW = np.array([pow(0x01000193, k, 1 << 32) for k in range(6)], np.uint32)
@@ -126,9 +126,9 @@ class Model:
 
 
 def fit(
-    rows: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 16, epochs: int = 5, rate: float = 0.5, seed: int = 7
+    rows: list[tuple[str, int]], buckets: int = 1 << 17, dim: int = 16, epochs: int = 5, least_steps: int = 6000, rate: float = 0.5, seed: int = 7
 ) -> Model:
-    """Train on (text, 0 or 1) rows; buckets is a power of two."""
+    """Train on (text, 0 or 1) rows, ``epochs`` times each and more often until ``least_steps``; buckets is a power of two."""
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     w, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
@@ -136,6 +136,7 @@ def fit(
     for _, texts in common.blocks([t for t, _ in rows]):
         grams += Grams(texts, buckets).by_text()
     y = [label for _, label in rows]
+    epochs = max(epochs, -(-least_steps // max(1, len(rows))))
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
