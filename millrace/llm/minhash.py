@@ -8,9 +8,12 @@ are hashed to buckets; two sets of similarity 0.8 share none with probability (1
 *Whole groups without all pairs*: equal sets are merged first (one row per set).  Sets that share a bucket,
 directly or through others, form a coarse group (components over one edge per set and bucket, to the bucket's
 smallest id).  The sets of a group are brought together once and compared in memory through an inverted index
-of their shingles, exactly: 100 * intersection >= percent * union.  A group whose sets would not fit a task is
-cut by hash into pieces of at most about ``CELL`` shingles, and every two pieces meet in one task, so no pair is
-lost; only links of a spanning forest leave a task.  Components of those links are the result.
+of their shingles, exactly: 100 * intersection >= percent * union.  Only links of a spanning forest leave a
+task, and their components are the result.  A group of more than ``CELL`` shingles is cut by hash into pieces,
+each with about ``PIVOTS`` sets of the whole group; most sets thereby find their way into one component.  Links
+inside that component don't matter any more, so then only the group's other sets, in pieces of their own, meet
+every piece.  No pair that could change the result is left out, and what is sent grows with a group's size, and
+with its square only as far as its sets are *not* alike.
 
 Edge cases: null and empty texts, and texts of white space, have an empty set, link with nothing and are kept;
 a text of fewer than ``size`` words is one shingle; texts of any length are used whole; rows with the same id and
@@ -32,7 +35,8 @@ from . import common, graph
 
 BANDS, ROWS = 20, 4
 SHINGLE, PERCENT = 5, 80
-CELL = 1 << 20
+CELL = 1 << 18
+PIVOTS = 64
 TILE = 1 << 14
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _TABLE: dict[bytes, int] = {}
@@ -94,6 +98,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], at_text: int, size: int):
                 own, n, start = [], 0, i + 1
         if own:
             yield batch, start, own
+    _TABLE.clear()  # a worker process outlives its task
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -117,8 +122,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 # ----------------------------------------------------------------------- verification
-def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (a, b) of the links between sets, from exact intersection sizes."""
+def links(ids: np.ndarray, sets: list[np.ndarray], percent: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (a, b) of the links between sets, from exact intersection sizes.
+
+    ``asked``: for which sets to look for links to all others; without it all links count.
+    """
     none = np.zeros(0, np.int64)
     if len(ids) < 2:
         return none, none
@@ -144,7 +152,7 @@ def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.nda
         return x
 
     a, b = [], []
-    for i in range(len(ids)):
+    for i in range(len(ids)) if asked is None else np.flatnonzero(asked).tolist():
         own = place[cut[i] : cut[i + 1]]
         if len(own) * 100 < percent * size[i]:
             continue  # too few of its shingles stand in any other set
@@ -154,7 +162,7 @@ def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.nda
         at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
         both = np.bincount(doc[at], minlength=len(ids))
         near = np.flatnonzero(both * 100 >= percent * (size + size[i] - both))
-        for j in near[near < i]:
+        for j in near[near < i] if asked is None else near[near != i]:
             x, y = root(i), root(int(j))
             if x != y:
                 label[max(x, y)] = min(x, y)
@@ -164,34 +172,84 @@ def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.nda
 
 
 def verified(cells: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) within each cell of (cell, id, text), which arrive sorted by cell in their partition.
+    """Links (a, b) within each cell of (cell, id, asked, text), which arrive sorted by cell in their partition.
 
     Small cells share one index: links between them can't be wrong, as they are checked like all others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
+        asked: list[bool] = []
         sets: list[np.ndarray] = []
         held, last = 0, None
 
         def emit() -> pa.RecordBatch:
-            a, b = links(np.array(ids), sets, percent)
+            a, b = links(np.array(ids), sets, percent, None if all(asked) else np.array(asked))
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         for batch in batches:
-            for cell, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for cell, i, ask, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
                 if cell != last and held >= CELL // 4:
                     yield emit()
-                    ids, sets, held = [], [], 0
+                    ids, asked, sets, held = [], [], [], 0
                 last = cell
                 own = shingle_hashes(text.as_py(), size)
                 ids.append(i)
+                asked.append(ask)
                 sets.append(own)
                 held += len(own)
         if ids:
             yield emit()
+        _TABLE.clear()
 
-    return cells.select("cell", "id", "text").mapInArrow(run, "a long, b long")
+    return cells.select("cell", "id", "asked", "text").mapInArrow(run, "a long, b long")
+
+
+def _met(own: DataFrame, cells: DataFrame, size: int, percent: int, repeated: bool) -> DataFrame:
+    """Links within cells (id, cell, asked), whose texts are fetched from (id, text)."""
+    some = common.sieve(own, cells, "id")  # most texts are in no group; they stay where they are
+    texts = some.join(cells.hint("merge"), "id")
+    if repeated:
+        texts = texts.dropDuplicates(["id", "cell"])
+    return verified(texts.repartition("cell").sortWithinPartitions("cell"), size, percent)
+
+
+def _group_links(own: DataFrame, coarse: DataFrame, reps: DataFrame, scratch: common.Scratch, size: int, percent: int, repeated: bool) -> DataFrame:
+    """Links (a, b) whose components are those of all links between sets of a coarse group."""
+    member = coarse.join(reps.select(F.col("rep").alias("node"), "n"), "node").withColumnRenamed("component", "grp")
+    weight = member.groupBy("grp").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("g"), F.count("*").alias("m"))
+    weight = scratch.keep(weight, "weight")
+    member = member.join(weight, "grp").withColumn("p", F.pmod(F.xxhash64("node", F.lit(5)), F.col("g")).cast("int"))
+    member = scratch.keep(member, "member")
+    pivot = (F.col("g") > 1) & (F.pmod(F.xxhash64("node", F.lit(6)), F.col("m")) < PIVOTS)
+    pieces = F.when(pivot, F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array("p"))
+    cells = member.select(F.col("node").alias("id"), F.lit(True).alias("asked"), "grp", F.explode(pieces).alias("q"))
+    cells = scratch.keep(cells.select("id", "asked", F.xxhash64("grp", "q").alias("cell")), "cells")
+    found = scratch.keep(_met(own, cells, size, percent, repeated), "links")
+    scratch.drop("cells")
+    large = member.where("g > 1")
+    if large.limit(1).isEmpty():
+        scratch.drop("member", "weight")
+        return found
+
+    # of each large group, all sets that are not in its largest component meet every piece
+    parts = graph.components(found, scratch, "pieces").withColumnRenamed("component", "part")
+    large = large.join(parts, "node", "left").select("node", "n", "grp", "g", "p", F.coalesce("part", "node").alias("part"))
+    large = scratch.keep(large, "large")
+    tops = large.groupBy("grp", "part").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max(F.struct("k", "part")).alias("top"))
+    tops = scratch.keep(tops.select("grp", F.col("top.part").alias("top")), "tops")
+    rest = large.join(tops, "grp").where(F.col("part") != F.col("top"))
+    share = scratch.keep(rest.groupBy("grp").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("h")), "share")
+    cell = F.xxhash64("grp", F.lit("rest"), "i", "q").alias("cell")
+    asks = rest.join(share, "grp").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("h")).cast("int"))
+    asks = asks.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(F.col("node").alias("id"), F.lit(True).alias("asked"), cell)
+    told = large.join(share, "grp").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("q", F.col("p"))
+    told = told.select(F.col("node").alias("id"), F.lit(False).alias("asked"), cell)
+    # a set that asks in the piece where it also stands is one row there
+    cells = scratch.keep(asks.unionByName(told).groupBy("id", "cell").agg(F.bool_or("asked").alias("asked")), "cells")
+    more = scratch.keep(_met(own, cells, size, percent, repeated), "more")
+    scratch.drop("cells", "large", "tops", "share", "member", "weight")
+    return found.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -213,23 +271,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     coarse = graph.components(edges, scratch, "coarse")
     scratch.drop("buckets", "picked")
 
-    member = coarse.join(reps.select(F.col("rep").alias("node"), "n"), "node")
-    weight = member.groupBy("component").agg(F.sum("n").alias("w"))
-    weight = scratch.keep(weight.select("component", F.ceil(F.col("w") / CELL).cast("int").alias("g")), "weight")
-    member = member.join(weight, "component")
-    # piece p of g meets every piece: cells (p, q) and (q, p) are one
-    piece = F.pmod(F.xxhash64("node", F.lit(5)), F.col("g")).cast("int")
-    member = member.withColumn("p", piece)
-    cell = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda q: F.xxhash64("component", F.least("p", q), F.greatest("p", q)))
-    cells = member.select(F.col("node").alias("id"), F.explode(cell).alias("cell"))
-    cells = scratch.keep(cells, "cells")
-    some = common.sieve(own, cells, "id")  # most texts are in no group; they stay where they are
-    texts = some.join(cells.hint("merge"), "id")
-    if _repeated(found):
-        texts = texts.dropDuplicates(["id", "cell"])
-    texts = texts.repartition("cell").sortWithinPartitions("cell")
-    fine = graph.components(verified(texts, size, percent), scratch, "fine")
-    scratch.drop("cells", "weight")
+    fine = graph.components(_group_links(own, coarse, reps, scratch, size, percent, _repeated(found)), scratch, "fine")
+    scratch.drop("links", "more")
 
     named = reps.join(fine.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     named = scratch.keep(named, "named")

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import common
 
 MARK = "▁"
-TABLE_CHARS = 1 << 25
+TABLE_CHARS = 1 << 22
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
 
