@@ -9,6 +9,7 @@ from .minhash import op1_minhash
 from .quality import op7_quality
 from .secrets import op2_secrets
 from .sentencepiece_op import op10_sentencepiece
+from .sql import OP1_SQL, OP3_SQL
 from .toxicity import op5_toxicity
 from .urls import OP4_SQL, op4_url_filter
 from .warc import op3_warc
@@ -31,5 +32,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash": OP1_SQL,
+        "op3_warc": OP3_SQL,
         "op4_url_filter": OP4_SQL,
     }

@@ -73,7 +73,7 @@ def test_rows(spark, documents, data_dir):
     kept = minhash.dedup_stage(spark, rows, "")
     assert kept.columns == rows.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3]
     assert minhash.near_duplicates(documents([])).collect() == []
-    assert minhash.near_duplicates(documents([None, ""])).collect() == [(0, 0, 0), (1, 0, 1)]
+    assert sorted(minhash.near_duplicates(documents([None, ""])).collect()) == [(0, 0, 0), (1, 0, 1)]
 
 
 def test_signature_estimates_similarity():
