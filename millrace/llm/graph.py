@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -58,13 +59,18 @@ def contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its smallest node.
 
-    Edges are first contracted inside their partitions.  Each round then gives a node the smallest label
+    Edges are first contracted inside their partitions, so that about one edge per node is left.  Each round then gives a node the smallest label
     among its own and its neighbours', and follows that label's own label; rounds end when no label changes.
     Labels are written to the shared folder after each round, so a lost executor costs one round at most.
     """
     # few tasks with many edges each contract best; their number follows the cluster, not the input's files
     tasks = max(2, scratch.spark.sparkContext.defaultParallelism)
-    e = scratch.keep(contracted(edges.coalesce(tasks)), f"{name}-edges")
+    forests = scratch.keep(contracted(edges.coalesce(tasks)), f"{name}-forests")
+    # a node has one root per task at most; it keeps the smallest, and the other roots are tied to that one
+    rooted = forests.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    tied = rooted.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+    e = scratch.keep(tied.select("e.a", "e.b").where("a <> b").distinct(), f"{name}-edges")
+    scratch.drop(f"{name}-forests")
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.groupBy("a").agg(F.min("b").alias("m"))
     labels = scratch.keep(near.select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-0")
