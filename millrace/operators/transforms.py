@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -37,28 +39,24 @@ def _target(schema: str | T.StructType) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[Row]:
-    make = Row(*names)
+def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    """Rows as named tuples: made column by column, and with attributes at the speed of tuples."""
+    make = namedtuple("Row", names, rename=True)._make
     for b in batches:
-        for r in b.to_pylist():
-            yield make(*r.values())
+        yield from map(make, zip(*(c.to_pylist() for c in b.columns), strict=True)) if b.columns else (make(()) for _ in range(b.num_rows))
 
 
 def _emit(rows: Iterable, target: T.StructType, size: int = 4096) -> Iterator[pa.RecordBatch]:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow, names, held = to_arrow_schema(target), target.names, []
-    for r in rows:
-        held.append(dict(zip(names, r if isinstance(r, (tuple, list)) else (r,), strict=True)))
-        if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, arrow)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, arrow)
+    arrow, rows = to_arrow_schema(target), iter(rows)
+    while held := list(islice(rows, size)):
+        columns = zip(*(r if isinstance(r, (tuple, list)) else (r,) for r in held), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
 
-def map_partitions_with_index(df: DataFrame, f: Callable[[int, Iterator[Row]], Iterable], schema: str | T.StructType) -> DataFrame:
-    """A closure from a partition's number and rows to rows of ``schema``; rows stream through in batches."""
+def map_partitions_with_index(df: DataFrame, f: Callable[[int, Iterator[tuple]], Iterable], schema: str | T.StructType) -> DataFrame:
+    """A closure from a partition's number and rows (named tuples) to rows of ``schema``; rows stream through in batches."""
     target, names = _target(schema), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,21 +65,21 @@ def map_partitions_with_index(df: DataFrame, f: Callable[[int, Iterator[Row]], I
     return df.mapInArrow(run, target)
 
 
-def map_partitions(df: DataFrame, f: Callable[[Iterator[Row]], Iterable], schema: str | T.StructType) -> DataFrame:
+def map_partitions(df: DataFrame, f: Callable[[Iterator[tuple]], Iterable], schema: str | T.StructType) -> DataFrame:
     return map_partitions_with_index(df, lambda _, rows: f(rows), schema)
 
 
-def map_py(df: DataFrame, f: Callable[[Row], object], schema: str | T.StructType) -> DataFrame:
+def map_py(df: DataFrame, f: Callable[[tuple], object], schema: str | T.StructType) -> DataFrame:
     """map with a closure; prefer ``project``."""
     return map_partitions(df, lambda rows: map(f, rows), schema)
 
 
-def filter_py(df: DataFrame, f: Callable[[Row], bool]) -> DataFrame:
+def filter_py(df: DataFrame, f: Callable[[tuple], bool]) -> DataFrame:
     """filter with a closure; prefer ``where``, which reaches the scan."""
     return map_partitions(df, lambda rows: filter(f, rows), df.schema)
 
 
-def flat_map_py(df: DataFrame, f: Callable[[Row], Iterable], schema: str | T.StructType) -> DataFrame:
+def flat_map_py(df: DataFrame, f: Callable[[tuple], Iterable], schema: str | T.StructType) -> DataFrame:
     """flat_map with a closure; prefer ``flat_map``."""
     return map_partitions(df, lambda rows: (y for x in rows for y in f(x)), schema)
 
