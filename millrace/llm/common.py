@@ -114,6 +114,19 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def publish(fs, files: list[tuple[str, str]]) -> None:
+    """Give a task's finished files their names, at its end: one that is lost before leaves nothing that is read.
+
+    A task that runs again writes the same names, and what it finds there goes.
+    """
+    for own, name in files:
+        try:
+            fs.move(own, name)
+        except OSError:  # not every file system moves onto a file
+            fs.delete_file(name)
+            fs.move(own, name)
+
+
 # --------------------------------------------------------------------------- samples
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """About ``max_rows`` rows (text, y) to learn from: documents outside the held-out fold with a label.

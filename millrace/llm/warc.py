@@ -4,8 +4,8 @@ Every task writes archives (``.warc.zst``) of its rows in the shared folder.  It
 archive's own first records (``TRAIN_BYTES``), puts it in a skippable frame (magic 0x184D2A5D) at the start of
 the archive and compresses each record to a frame of its own, so any record can be read without the others.
 Of records with equal payloads of at least ``min_bytes`` the one with the largest id is a ``response`` with the
-payload; the others are ``revisit`` records that refer to it.  An archive gets its name by a rename when it
-is complete, so lost or repeated tasks do no harm.
+payload; the others are ``revisit`` records that refer to it.  Archives get their names by renames at the
+end of their task, so lost or repeated tasks do no harm.
 
 Edge cases: a null payload counts as empty; a null URL gives no target header; a row without an id is written
 with an id-less record URI and never referred to; payloads of any length are stored whole; repeated rows
@@ -167,25 +167,28 @@ def write_warc(
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         fs, top = common.open_fs(folder)
-        own, writer, archives, size, records = f"{top}/_{part:06d}-{attempt}", None, 0, 0, 0
+        writer, done, size, records = None, [], 0, 0
 
         def close() -> None:
-            nonlocal writer, archives, size
+            nonlocal writer, size
             if writer is not None:
                 writer.close()
-                fs.move(own, f"{top}/part-{part:06d}-{archives:05d}.warc.zst")
-                writer, archives, size = None, archives + 1, 0
+                done.append((own, f"{top}/part-{part:06d}-{len(done):05d}.warc.zst"))
+                writer, size = None, 0
 
         for batch in batches:
             for k, u, p, r in zip(*batch.columns, strict=True):
                 data = record(k.as_py(), u.as_py(), (p.as_py() or "").encode("utf-8", "surrogatepass"), r.as_py(), r.is_valid)
-                writer = writer or Writer(fs.open_output_stream(own, compression=None))
+                if writer is None:
+                    own = f"{top}/_{part:06d}-{attempt}-{len(done)}"
+                    writer = Writer(fs.open_output_stream(own, compression=None))
                 writer.add(data)
                 records += 1
                 size += len(data)
                 if size >= archive_bytes:
                     close()
         close()
+        common.publish(fs, done)
         yield pa.RecordBatch.from_pydict({"records": pa.array([records], pa.int64())})
 
     rows.mapInArrow(run, "records long").agg(F.sum("records")).collect()
