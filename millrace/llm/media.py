@@ -1,8 +1,8 @@
 """Media columns: payloads in archives of PNG images, read through a custom Spark data source.
 
 *Writer*: each task stores its rows' payloads as 8-bit RGB images, ``WIDTH`` pixels wide, in ZIP archives of
-about ``ARCHIVE_BYTES`` in the shared folder.  An archive gets its name by a rename when it is complete, so a
-lost task leaves nothing that a reader sees, and a repeated one writes the same names.
+about ``ARCHIVE_BYTES`` in the shared folder.  Archives get their names by renames at the end of their task, so
+a lost task leaves nothing that a reader sees, and a repeated one writes the same names.
 
 *Source* (format ``millrace_media``): plans partitions as byte ranges over the archives of a folder, from file
 sizes alone.  A range's reader takes the members whose header lies in the range (from the archive's own
@@ -135,23 +135,23 @@ def write_archives(rows: DataFrame, folder: str, key: str, text: str, archive_by
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         fs, top = common.open_fs(folder)
-        archives = members = total = 0
+        members = total = 0
         sink = archive = None
-        own = f"{top}/_{part:06d}-{attempt}.zip"
+        done: list[tuple[str, str]] = []
 
         def close() -> None:
-            nonlocal sink, archive, archives
+            nonlocal sink, archive
             if archive is not None:
                 archive.close()
                 sink.close()
-                fs.move(own, f"{top}/part-{part:06d}-{archives:05d}.zip")
-                archives += 1
+                done.append((own, f"{top}/part-{part:06d}-{len(done):05d}.zip"))
                 sink = archive = None
 
         for batch in batches:
             for k, t in zip(batch.column(0), batch.column(1), strict=True):
                 media = encode((t.as_py() or "").encode("utf-8", "surrogatepass"))
                 if archive is None:
+                    own = f"{top}/_{part:06d}-{attempt}-{len(done)}.zip"
                     sink = fs.open_output_stream(own, compression=None)
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
                 name = zipfile.ZipInfo(f"{members:09d}/{k.as_py()}.png", (1980, 1, 1, 0, 0, 0))
@@ -161,7 +161,8 @@ def write_archives(rows: DataFrame, folder: str, key: str, text: str, archive_by
                 if sink.tell() >= archive_bytes:
                     close()
         close()
-        yield pa.RecordBatch.from_pydict({"archives": pa.array([archives], pa.int64()), "members": pa.array([members], pa.int64()), "bytes": pa.array([total], pa.int64())})
+        common.publish(fs, done)
+        yield pa.RecordBatch.from_pydict({"archives": pa.array([len(done)], pa.int64()), "members": pa.array([members], pa.int64()), "bytes": pa.array([total], pa.int64())})
 
     done = rows.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, "archives long, members long, bytes long")
     return done.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in done.columns)).first().asDict()
