@@ -4,7 +4,7 @@ Words are lower-cased runs without white space and ASCII punctuation; only the b
 all others are one blank.
 
 1. One pass counts in how many passages of the corpus (``WINDOW`` words) each benchmark word stands: its idf.
-   Words of more than ``COMMON`` of all passages weigh nothing in the latent space; in step 3's checks they count.
+   Words of more than ``COMMON`` of all passages weigh nothing in the latent space; in steps 3 and 4 they count.
 2. One pass sketches the Gram matrix of the TF-IDF passages, Y = A'A R with a random R, summed by the cluster
    in slices of words.  A Nystrom step turns the sketch into the ``EXTRA`` leading right singular vectors; they
    and the benchmark's own passages, which must be in the range, span the latent space.
@@ -12,6 +12,10 @@ all others are one blank.
    cosine with every benchmark passage in the latent space, and checks the pairs of ``COSINE`` or more: the
    longest common subsequence of the item and the text around the window must have ``COVERAGE`` of the item's
    words, and of the item's answer (its rarest quarter of words) half must stand there.
+4. The latent space can't see an item whose own words are widespread.  So the same pass also checks every window
+   with half of an item's answer around it, found by the places of the answers' words; no pair that would pass the
+   checks is left out.  Where the latent cosine is below ``COSINE``, the cosine told is that of plain TF-IDF
+   vectors of the item and the text around the window.
 
 The benchmark is the stated query set: its words and passages are held by the driver and sent to the tasks in
 blocks of ``BLOCK`` passages, each with a latent space of its own (step 2 runs once); no size of the corpus enters what is sent.
@@ -216,18 +220,50 @@ class Query:
     passages: np.ndarray
     item_of: list[int]
     items: list[Item]
+    smooth: np.ndarray  # an idf above 0 for every word
 
     def __post_init__(self):
         self.sizes = np.array([len(x.ids) for x in self.items], np.int64)
         self.member = np.zeros((len(self.items), len(self.idf)), bool)  # the words of each item
         for row, x in zip(self.member, self.items, strict=True):
             row[x.ids] = True
+        pairs = sorted((x, k) for k, own in enumerate(self.items) for x in own.answer)
+        self.asker = np.array([k for _, k in pairs], np.int64)  # the items with a word in their answer, word by word
+        self.askers = np.bincount(np.array([x for x, _ in pairs], np.int64), minlength=len(self.idf))
+        self.first_asker = np.cumsum(self.askers) - self.askers
+        self.least_answer = np.array([math.ceil(ANSWER * len(x.answer)) for x in self.items], np.int64)
+
+    def answered(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """All (half window, item) where half of the item's answer may stand around the window."""
+        at = np.flatnonzero(self.askers[t.ids])
+        n = self.askers[t.ids[at]]
+        item = self.asker[np.repeat(self.first_asker[t.ids[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        at = np.repeat(at, n)
+        doc = np.searchsorted(t.start, at, "right") - 1
+        order = np.lexsort((at, item))
+        at, item, doc = at[order], item[order], doc[order]
+        to = np.arange(len(at)) + self.least_answer[item] - 1  # as many of the answer's words from here on
+        run = np.flatnonzero(to < len(at))
+        run = run[(item[to[run]] == item[run]) & (doc[to[run]] == doc[run])]
+        size, begin = self.sizes[item[run]], t.start[doc[run]]
+        low = np.maximum(0, -((begin + WINDOW + size - at[to[run]] - 1) // HALF))
+        halves = -(-(t.start[doc[run] + 1] - begin) // HALF)
+        high = np.minimum(halves - 1, (at[run] - begin + size) // HALF)
+        n = np.maximum(0, high - low + 1)
+        own = np.repeat(np.searchsorted(t.doc, doc[run]) + low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pairs = np.unique(own * len(self.items) + np.repeat(item[run], n))
+        return pairs // len(self.items), pairs % len(self.items)
+
+    def plain(self, own: list[int], near: np.ndarray) -> float:
+        """The cosine of an item and a text by their words alone."""
+        a, b = (np.bincount(x, minlength=len(self.smooth)) * self.smooth for x in (own, near))
+        return float(a @ b / max(1e-9, np.linalg.norm(a) * np.linalg.norm(b)))
 
     def matches(self, texts: list[str]) -> list[list[tuple[int, float, float]]]:
         """Per text (item id, cosine, coverage) of each item that it holds, best window only."""
         out: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
         t = Tokens(texts, self.vocabulary, self.idf)
-        if not len(t.known) or not self.items:
+        if not len(t.ids) or not self.items:
             return [[] for _ in texts]
         half = t.halves(self.space)
         x = half.copy()
@@ -239,6 +275,9 @@ class Query:
         cos = (x[ok] @ self.passages.T) / norm[ok, None]
         w, p = np.nonzero(cos >= COSINE)
         w, cos, item = ok[w], cos[w, p], np.array(self.item_of, np.int64)[p]
+        also, asked = self.answered(t)
+        new = ~last[also] & ~np.isin(also * len(self.items) + asked, w * len(self.items) + item)
+        w, item, cos = np.append(w, also[new]), np.append(item, asked[new]), np.append(cos, np.full(new.sum(), np.nan))
         size = self.sizes[item]
         begin = np.maximum(t.start[t.doc[w]], t.at[w] - size).tolist()
         end = np.minimum(t.start[t.doc[w] + 1], t.at[w] + WINDOW + size).tolist()
@@ -253,6 +292,8 @@ class Query:
                 continue
             share = lcs(own.ids, near) / len(own.ids)
             if share >= COVERAGE - 1e-9 and share > out[doc].get(own.item_id, (0.0, 0.0))[1]:
+                if math.isnan(c):
+                    c = self.plain(own.ids, t.ids[a:b])
                 out[doc][own.item_id] = (c, share)
         return [[(k, c, s) for k, (c, s) in sorted(own.items())] for own in out]
 
@@ -268,10 +309,12 @@ def queries_of(docs: DataFrame, bench: DataFrame, text: str, item: str, item_tex
     idf = np.log((passages + 1) / (counts + 1)).clip(0).astype(np.float32)
     idf[counts > COMMON * passages] = 0
     idf[0] = 0
+    smooth = np.log1p((passages + 1) / (counts + 1))
+    smooth[0] = 0
     items, pieces = [], []
     for i, own in tokens:
         ids = [vocabulary[w] for w in own]
-        rare = sorted(set(ids), key=lambda x: (-idf[x], x))
+        rare = sorted(set(ids), key=lambda x: (counts[x], x))
         items.append(Item(i, ids, set(rare[: max(2, math.ceil(len(rare) / 4))])))
         parts = -(-len(ids) // WINDOW)
         for k in range(parts):
@@ -290,7 +333,7 @@ def queries_of(docs: DataFrame, bench: DataFrame, text: str, item: str, item_tex
         known = [space[ids].sum(0) for _, ids in own]
         passages_ = np.array([v / max(1e-9, float(np.linalg.norm(v))) for v in known], np.float32)
         used = sorted({k for k, _ in own})
-        out.append(Query(vocabulary, idf, space, passages_, [used.index(k) for k, _ in own], [items[k] for k in used]))
+        out.append(Query(vocabulary, idf, space, passages_, [used.index(k) for k, _ in own], [items[k] for k in used], smooth))
     return out
 
 

@@ -114,3 +114,40 @@ def test_query_against_brute_force(spark):
     assert all(slow_lcs(ids(items[i]), ids(docs[k])) >= dc.COVERAGE * len(ids(items[i])) - 1e-9 for k, i in got)
     kept = dc.clean_stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
     assert {r.doc_id for r in kept.select("doc_id").collect()} == docs.keys() - {k for k, _ in got}
+
+
+@pytest.mark.parametrize("share", [1 / 3, 0.9])
+def test_widespread_item_is_found(spark, documents, share):
+    """An item in many rows makes its own words common ones."""
+    rng = random.Random(3)
+    item = [f"w{k}" for k in range(20)]
+    other = [f"v{k}" for k in range(40)]
+    noise = lambda n: [rng.choice(other) if rng.random() < 0.2 else f"z{rng.randrange(900)}" for _ in range(n)]
+    texts = [" ".join([*noise(k % 150), *(item if k % 60 < 60 * share else []), *noise(150 - k % 150)]) for k in range(120)]
+    table = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+    got = {r.doc_id: r.matches for r in dc.find(documents(texts), table).collect()}
+    assert [[m.item_id for m in got[k]] for k in range(120)] == [[1] if k % 60 < 60 * share else [] for k in range(120)]
+    assert all(m.coverage == 1 and 0 < m.cosine <= 1 + 1e-6 for own in got.values() for m in own)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 10])
+def test_small_tables(spark, documents, bench, rows):
+    texts = [f"before it {bench[k % 4]} and after it" for k in range(rows)]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(bench[:4])], "item_id long, text string")
+    got = {r.doc_id: r.matches for r in dc.find(documents(texts), table).collect()}
+    assert [[m.item_id for m in got[k]] for k in range(rows)] == [[k % 4] for k in range(rows)]
+
+
+def test_answered_windows_are_all(bench):
+    """Against a walk over every window and item."""
+    items = [b.split() for b in bench[:4]]
+    voc = {w: k + 1 for k, w in enumerate(sorted({w.encode() for b in items for w in b}))}
+    own = [dc.Item(k, [voc[w.encode()] for w in b], {voc[w.encode()] for w in b[:: k + 2]}) for k, b in enumerate(items)]
+    zero = np.zeros(len(voc) + 1, np.float32)
+    q = dc.Query(voc, zero, zero[:, None], np.zeros((4, 1), np.float32), [0, 1, 2, 3], own, zero)
+    t = dc.Tokens([" ".join(prose(n)) for n in (0, 1, 31, 64, 65, 400, 0)] + ["", " ".join(["x"] * 300 + items[0] + ["y"] * 300)], voc, zero)
+    got = set(zip(*(x.tolist() for x in q.answered(t)), strict=True))
+    for h, (at, doc) in enumerate(zip(t.at.tolist(), t.doc.tolist(), strict=True)):
+        for k, x in enumerate(own):
+            near = t.ids[max(t.start[doc], at - len(x.ids)) : min(t.start[doc + 1], at + dc.WINDOW + len(x.ids))].tolist()
+            assert ((h, k) in got) == (sum(i in x.answer for i in near) >= dc.ANSWER * len(x.answer))
