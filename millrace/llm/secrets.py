@@ -24,10 +24,11 @@ from . import common
 
 LEAST = 16
 AROUND = 48
+PIECES = 2 * -(-AROUND // LEAST) + 1  # so many candidates and gaps between them have AROUND characters
 TREES, DEPTH, SEED = 25, 6, 7
 FINDINGS = 6000
 REDACTED = "[SECRET]"
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}+={{0,2}}"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}(?:={{1,2}}(?!=*['\"`]?[A-Za-z0-9+/_-]))?"  # padding, not the sign of an assignment
 #: Words before a secret, words before a checksum or identifier, and words of identifiers and placeholders.
 KEY_WORDS = "password|passwd|pwd|passphrase|token|secret|api_?key|access_?key|auth|bearer|credential|private_?key"
 HASH_WORDS = "commit|sha1|sha256|sha512|md5|checksum|digest|etag|revision|uuid|guid|hash|integrity|build|order|invoice|isbn|card"
@@ -85,6 +86,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     ident = F.regexp_replace(F.concat(ident, pick(31, "", "2", "v3", "01")), "[_-]$", "")
     key = pick(41, "password", "token", "secret", "api_key", "apikey", "access_key", "auth_token", "pwd", "client_secret", "Password", "TOKEN", "SECRET_KEY")
     ops = pick(42, "=", ' = "', ": ", ':"', "='", ' = "', "=")
+    long_key = pick(54, "AWS_SECRET_ACCESS_KEY", "github_access_token", "DATABASE_PASSWORD", "production-api-key", "oauth2_client_secret", "SLACK_BOT_TOKEN_SECRET", "admin_user_password")
     tail = pick(43, '"', " ", "'", ", ", '"\n')
     neutral = F.concat(word(6), F.lit(" "), word(7), pick(44, " ", ". ", ", ", " ", "\n"))
     hashed = pick(45, "commit ", "sha256:", "md5=", "checksum: ", "digest=", "etag: ", "revision ", "build=", 'hash = "')
@@ -93,6 +95,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(neutral, key, ops), F.upper(sized(raw, 16, 18, 20, 32, 40)), 1),
         (F.concat(neutral, key, ops), sized(alnum, 16, 20, 24, 32, 40, 48), 1),
         (F.concat(neutral, key, ops), sized(base, 20, 28, 32, 40, 44, 64), 1),
+        (F.concat(neutral, long_key, ops), sized(F.when(F.pmod(F.floor(i / 7), F.lit(2)) == 0, base).otherwise(raw), 20, 32, 32, 40, 40, 64), 1),
+        (neutral, F.concat(long_key, pick(55, "", "_2", "_V1", "01")), 0),
         (neutral, F.concat(pick(46, "AKIA", "ASIA"), F.upper(F.substring(alnum, 1, 16))), 1),
         (neutral, F.concat(pick(47, "ghp_", "gho_", "sk_live_", "glpat-", "xoxb-"), F.substring(alnum, 1, 36)), 1),
         (neutral, F.substring(digits, 1, 16), 0),
@@ -157,7 +161,8 @@ def scan(docs: DataFrame, forest: str, text: str = "text", out: str = "findings"
     row = F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("_row")  # so that no column can clash with those below
     parts = own.select(row, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     parts = parts.select("_row", F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0)).alias("_own"), F.split("_t", CANDIDATE, -1).alias("_between"))
-    # element i of _own stands between elements i and i + 1 of _between
+    # element i of _own stands between elements i and i + 1 of _between; in turn they are the whole text
+    turns = F.flatten(F.transform("_between", lambda b, i: F.array(b, F.coalesce(F.get("_own", i), F.lit("")))))
     starts = F.aggregate(
         F.arrays_zip("_own", "_between"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
@@ -167,14 +172,15 @@ def scan(docs: DataFrame, forest: str, text: str = "text", out: str = "findings"
         ),
     )["all"]
     index = F.when(F.size("_own") > 0, F.sequence(F.lit(0), F.size("_own") - 1)).otherwise(F.array().cast("array<int>"))
-    parts = parts.withColumn("_starts", F.when(F.size("_own") > 0, starts))
+    edge = lambda cut: F.when(F.size("_own") > 0, F.transform(turns, lambda x: cut(x, F.lit(AROUND))))
+    parts = parts.select("*", F.when(F.size("_own") > 0, starts).alias("_starts"), edge(F.right).alias("_tails"), edge(F.left).alias("_heads"))
     found = F.transform(
         index,
         lambda i: F.struct(
             F.get("_starts", i).alias("start"),
-            F.right(F.get("_between", i), F.lit(AROUND)).alias("before"),
+            F.right(F.array_join(F.slice("_tails", F.greatest(i * 2 + 2 - PIECES, F.lit(1)), F.least(i * 2 + 1, F.lit(PIECES))), ""), F.lit(AROUND)).alias("before"),
             F.get("_own", i).alias("candidate"),
-            F.left(F.get("_between", i + 1), F.lit(AROUND)).alias("after"),
+            F.left(F.array_join(F.slice("_heads", i * 2 + 3, F.lit(PIECES)), ""), F.lit(AROUND)).alias("after"),
         ),
     )
     found = F.filter(found, lambda x: x["candidate"].rlike("[0-9]") | F.lower(x["before"]).rlike(f"(?:{KEY_WORDS})[^a-z]*$"))

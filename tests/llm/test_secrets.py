@@ -75,3 +75,21 @@ def test_stage(spark, sf):
     out = secrets.secret_stage(spark, docs, sf)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.where(F.col("text").contains("[SECRET]")).where(F.length("text") != F.col("n_chars")).count() == 0
+
+
+def test_long_key_names(spark, documents, forest):
+    """A key name that is as long as a candidate is context of the value after it."""
+    base = "wJalrXUtnFEMIK7MDENGbPxRfiCYzq93hT5vLc2a"
+    forms = [f"AWS_SECRET_ACCESS_KEY={base}", f"AWS_SECRET_ACCESS_KEY={HEX}", f'github_access_token = "{HEX}"', f"DATABASE_PASSWORD: {HEX[:32]}", f"AWS_S3_SECRET_ACCESS_KEY='{base}'"]
+    texts = [f"see this: {x} and more" for x in forms] + [f"{HEX} {HEX}", "AWS_SECRET_ACCESS_KEY=", "a padded one cGFkZGVkIHZhbHVlIDE5== ends"]
+    out = {r.doc_id: r for r in secrets.scan(documents(texts), forest).collect()}
+    for k, x in enumerate(forms):
+        value = x.split("=")[-1].split(":")[-1].strip(" '\"")
+        assert [f.candidate for f in out[k].findings if f.secret] == [value]
+    for k, r in out.items():
+        for f in r.findings:
+            assert f.before == texts[k][max(0, f.start - secrets.AROUND) : f.start]
+            assert f.after == texts[k][f.start + len(f.candidate) :][: secrets.AROUND]
+    assert [f.candidate for f in out[len(texts) - 1].findings] == ["cGFkZGVkIHZhbHVlIDE5=="]
+    clean = secrets.redact(documents(texts[:3]), forest).orderBy("doc_id").collect()
+    assert clean[0].text == "see this: AWS_SECRET_ACCESS_KEY=[SECRET] and more"
