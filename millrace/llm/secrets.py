@@ -1,7 +1,8 @@
 """Secret scans: a random forest that removes false positives, as DataFrame expressions only.
 
 A pattern finds candidates (runs of at least ``LEAST`` key characters with a digit, or right after a word such as
-``password``).  Each gets features of its length, character transitions, dictionary coverage, path and
+``password``; and, where such a word is assigned to, any run of ``SHORT`` or more characters without white space and
+quotes).  Each gets features of its length, character transitions, dictionary coverage, path and
 neighbouring words.  A random forest, trained with Spark's own learner on labelled findings, is turned into a
 nested CASE expression, so scanning a text is one projection inside the scan's stage: no Python, no shuffle.
 
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LEAST = 16
+LEAST, SHORT = 16, 6
 AROUND = 48
-PIECES = 2 * -(-AROUND // LEAST) + 1  # so many candidates and gaps between them have AROUND characters
+PIECES = 2 * -(-AROUND // SHORT) + 1  # so many candidates and gaps between them have AROUND characters
 TREES, DEPTH, SEED = 25, 6, 7
 FINDINGS = 6000
 REDACTED = "[SECRET]"
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}(?:={{1,2}}(?!=*['\"`]?[A-Za-z0-9+/_-]))?"  # padding, not the sign of an assignment
+MARK = "\x01#\x02"
 #: Words before a secret, words before a checksum or identifier, and words of identifiers and placeholders.
 KEY_WORDS = "password|passwd|pwd|passphrase|token|secret|api_?key|access_?key|auth|bearer|credential|private_?key"
 HASH_WORDS = "commit|sha1|sha256|sha512|md5|checksum|digest|etag|revision|uuid|guid|hash|integrity|build|order|invoice|isbn|card"
@@ -42,6 +43,26 @@ WORDS = (
 FEATURES = ("length", "transitions", "digits", "distinct", "words", "syllables", "upper", "path", "key_word", "hash_word", "assigned", "prefix", "uuid")
 
 
+def _assigned() -> str:
+    """Pattern of the place right after a key word and an assignment; all looks behind have a fixed width."""
+    names = "password|passwd|pwd|passphrase|token|secret|api_key|apikey|access_key|accesskey|auth|bearer|credential|private_key|privatekey"
+    by_width: dict[int, list[str]] = {}
+    for x in names.split("|"):
+        by_width.setdefault(len(x), []).append(x)
+    word = "|".join(f"(?<={'|'.join(own)})" for own in by_width.values())
+    quote = "[\"'`]"
+    after = [f"{sign}{blank}{q}" for sign in ("[=:]", "=>") for blank in ("", r"\s", r"\s\s", r"\s\s\s") for q in ("", quote)]
+    whole = "|".join(f"(?<=(?:{word}){q}{blank}{own})" for own in after for blank in ("", r"\s", r"\s\s", r"\s\s\s") for q in ("", quote))
+    near = "|".join(f"(?<={own})" for own in after)  # rules most places out at little cost
+    return f"(?<=[=:>\\s\"'`])(?:{near})(?i:{whole})"
+
+
+#: Keys of known forms and addresses are left to the second pattern, wherever they stand in the run.
+_PLAIN = rf"{_assigned()}(?![=:>])(?!\S*(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk_live_|glpat-|://))[^\s\"'`]{{{SHORT - 1},}}[^\s\"'`,;.:)\]}}>]"
+_KEY = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}(?:={{1,2}}(?!=*['\"`]?[A-Za-z0-9+/_-]))?"  # padding, not the sign of an assignment
+CANDIDATE = f"{_PLAIN}|{_KEY}"
+
+
 def _share(c: Column, pattern: str) -> Column:
     """The share of characters that the pattern's matches cover."""
     return F.lit(1.0) - F.length(F.regexp_replace(c, pattern, "")) / F.greatest(F.length(c), F.lit(1))
@@ -63,7 +84,7 @@ def features(before: Column, c: Column, after: Column) -> list[Column]:
         count("/") / n + flag(before.rlike(r"[/.\\]$")),
         flag(near.rlike(f"(?:{KEY_WORDS})[^a-z]*$")),
         flag(near.rlike(f"(?:{HASH_WORDS})[^a-z]*$")),
-        flag(before.rlike(r"[=:]\s*[\"'`]?$")),
+        flag(before.rlike(r"(?:[=:]|=>)\s*[\"'`]?$")),
         flag(c.rlike("^(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk_live_|glpat-)")),
         flag(c.rlike("^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")),
     ]
@@ -96,6 +117,11 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(neutral, key, ops), sized(alnum, 16, 20, 24, 32, 40, 48), 1),
         (F.concat(neutral, key, ops), sized(base, 20, 28, 32, 40, 44, 64), 1),
         (F.concat(neutral, long_key, ops), sized(F.when(F.pmod(F.floor(i / 7), F.lit(2)) == 0, base).otherwise(raw), 20, 32, 32, 40, 40, 64), 1),
+        (F.concat(neutral, key, ops), F.concat(pick(56, "", "", "Tr", "pa", "Zq"), sized(alnum, 6, 8, 9, 10, 12, 14), pick(57, "", "!", "&3", "#", "@9x"), pick(58, "", "", "7", "K2")), 1),
+        (F.concat(neutral, key, ops), F.concat(word(9), pick(59, "1", "x1", "42", "2024", "7z", "&3", "!9", "$5e")), 1),
+        (F.concat(neutral, key, ops), F.concat(pick(60, "Tr0ub", "hunt3r", "S3cr", "p4ss", "w1nt", "L0nd", "dr4g"), pick(61, "4dor", "er", "on", "et", "ka"), pick(62, "&3", "!", "2x1", "#7", "$", "99")), 1),
+        (F.concat(neutral, key, ops), pick(63, "required", "optional", "undefined", "invalid", "string", "String,", "None,None", "<your-password>", "${PASSWORD}", "{{password}}", "os.environ", "process.env.TOKEN", "changeme", "xxxxxxxx", "********", "getpass()", "self.token", "get_token(user)", "password", "example", "placeholder", "config.get(key)", "$DB_PASSWORD", "%(password)s", "Optional[str]"), 0),
+        (F.concat(neutral, key, pick(64, ": ", ": ", " = ", "=")), F.concat(word(10), pick(65, "", "", ".", word(11))), 0),
         (neutral, F.concat(long_key, pick(55, "", "_2", "_V1", "01")), 0),
         (neutral, F.concat(pick(46, "AKIA", "ASIA"), F.upper(F.substring(alnum, 1, 16))), 1),
         (neutral, F.concat(pick(47, "ghp_", "gho_", "sk_live_", "glpat-", "xoxb-"), F.substring(alnum, 1, 36)), 1),
@@ -160,7 +186,10 @@ def scan(docs: DataFrame, forest: str, text: str = "text", out: str = "findings"
     own = docs.drop(out)
     row = F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("_row")  # so that no column can clash with those below
     parts = own.select(row, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    parts = parts.select("_row", F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0)).alias("_own"), F.split("_t", CANDIDATE, -1).alias("_between"))
+    # split compiles its pattern for each row, which takes longer than to search a text; so the long one only marks
+    marked = F.split(F.regexp_replace("_t", F.lit(CANDIDATE), F.lit(MARK)), MARK, -1)
+    between = F.when(F.contains(F.col("_t"), F.lit(MARK)), F.split("_t", CANDIDATE, -1)).otherwise(marked)
+    parts = parts.select("_row", F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0)).alias("_own"), between.alias("_between"))
     # element i of _own stands between elements i and i + 1 of _between; in turn they are the whole text
     turns = F.flatten(F.transform("_between", lambda b, i: F.array(b, F.coalesce(F.get("_own", i), F.lit("")))))
     starts = F.aggregate(
@@ -172,17 +201,19 @@ def scan(docs: DataFrame, forest: str, text: str = "text", out: str = "findings"
         ),
     )["all"]
     index = F.when(F.size("_own") > 0, F.sequence(F.lit(0), F.size("_own") - 1)).otherwise(F.array().cast("array<int>"))
-    edge = lambda cut: F.when(F.size("_own") > 0, F.transform(turns, lambda x: cut(x, F.lit(AROUND))))
-    parts = parts.select("*", F.when(F.size("_own") > 0, starts).alias("_starts"), edge(F.right).alias("_tails"), edge(F.left).alias("_heads"))
-    found = F.transform(
+    edge = lambda cut: F.transform(turns, lambda x: cut(x, F.lit(AROUND)))
+    # a lambda's variable, so that none of these is worked out again for each candidate
+    held = F.struct(F.col("_own").alias("own"), starts.alias("starts"), edge(F.right).alias("tails"), edge(F.left).alias("heads"))
+    each = lambda p: F.transform(
         index,
         lambda i: F.struct(
-            F.get("_starts", i).alias("start"),
-            F.right(F.array_join(F.slice("_tails", F.greatest(i * 2 + 2 - PIECES, F.lit(1)), F.least(i * 2 + 1, F.lit(PIECES))), ""), F.lit(AROUND)).alias("before"),
-            F.get("_own", i).alias("candidate"),
-            F.left(F.array_join(F.slice("_heads", i * 2 + 3, F.lit(PIECES)), ""), F.lit(AROUND)).alias("after"),
+            F.get(p["starts"], i).alias("start"),
+            F.right(F.array_join(F.slice(p["tails"], F.greatest(i * 2 + 2 - PIECES, F.lit(1)), F.least(i * 2 + 1, F.lit(PIECES))), ""), F.lit(AROUND)).alias("before"),
+            F.get(p["own"], i).alias("candidate"),
+            F.left(F.array_join(F.slice(p["heads"], i * 2 + 3, F.lit(PIECES)), ""), F.lit(AROUND)).alias("after"),
         ),
     )
+    found = F.coalesce(F.flatten(F.transform(F.when(F.size("_own") > 0, F.array(held)), each)), F.array())
     found = F.filter(found, lambda x: x["candidate"].rlike("[0-9]") | F.lower(x["before"]).rlike(f"(?:{KEY_WORDS})[^a-z]*$"))
     with_f = F.transform(
         found,

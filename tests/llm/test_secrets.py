@@ -81,7 +81,7 @@ def test_long_key_names(spark, documents, forest):
     """A key name that is as long as a candidate is context of the value after it."""
     base = "wJalrXUtnFEMIK7MDENGbPxRfiCYzq93hT5vLc2a"
     forms = [f"AWS_SECRET_ACCESS_KEY={base}", f"AWS_SECRET_ACCESS_KEY={HEX}", f'github_access_token = "{HEX}"', f"DATABASE_PASSWORD: {HEX[:32]}", f"AWS_S3_SECRET_ACCESS_KEY='{base}'"]
-    texts = [f"see this: {x} and more" for x in forms] + [f"{HEX} {HEX}", "AWS_SECRET_ACCESS_KEY=", "a padded one cGFkZGVkIHZhbHVlIDE5== ends"]
+    texts = [f"see this: {x} and more" for x in forms] + [f"{HEX} {HEX}", "AWS_SECRET_ACCESS_KEY=", f"{secrets.MARK} a {HEX} b", "a padded one cGFkZGVkIHZhbHVlIDE5== ends"]
     out = {r.doc_id: r for r in secrets.scan(documents(texts), forest).collect()}
     for k, x in enumerate(forms):
         value = x.split("=")[-1].split(":")[-1].strip(" '\"")
@@ -93,3 +93,15 @@ def test_long_key_names(spark, documents, forest):
     assert [f.candidate for f in out[len(texts) - 1].findings] == ["cGFkZGVkIHZhbHVlIDE5=="]
     clean = secrets.redact(documents(texts[:3]), forest).orderBy("doc_id").collect()
     assert clean[0].text == "see this: AWS_SECRET_ACCESS_KEY=[SECRET] and more"
+
+
+def test_short_assigned_secrets(spark, documents, forest):
+    """Values right after a key word and an assignment, of any characters."""
+    values = {'password = "Tr0ub4dor&3"': "Tr0ub4dor&3", "pwd=hunter2x1": "hunter2x1", '{"passwd": "a!b@c#19"}': "a!b@c#19", "api_key:   Zk49!pQ7": "Zk49!pQ7", "TOKEN => 'q1w2e3r4'": "q1w2e3r4"}
+    plain = ["password = None", "the password is long", "password: required", "token = get_token(user)", "id=hunter2x1", "pwd: changeme", "secret = os.environ"]
+    texts = [f"so {x} then" for x in values] + plain + ["password=" + "b1!" * 40000, "token: https://a.b/c?access_token=" + HEX]
+    out = {r.doc_id: [(f.candidate, f.secret) for f in r.findings] for r in secrets.scan(documents(texts), forest).collect()}
+    assert [[c for c, s in out[k] if s] for k in range(len(values))] == [[v] for v in values.values()]
+    assert not any(s for k in range(len(values), len(values) + len(plain)) for _, s in out[k])
+    assert [len(c) for c, _ in out[len(texts) - 2]] == [120000] and out[len(texts) - 1] == [(HEX, True)]
+    assert secrets.redact(documents(texts[:1]), forest).first().text == 'so password = "[SECRET]" then'
