@@ -1,13 +1,15 @@
 """Secret scans: a random forest that removes false positives, as DataFrame expressions only.
 
-A pattern finds candidates (runs of at least ``LEAST`` key characters with a digit, or right after a word such as
-``password``; and, where such a word is assigned to, any run of ``SHORT`` or more characters without white space and
-quotes).  Each gets features of its length, character transitions, dictionary coverage, path and
-neighbouring words.  A random forest, trained with Spark's own learner on labelled findings, is turned into a
-nested CASE expression, so scanning a text is one projection inside the scan's stage: no Python, no shuffle.
-
+A pattern finds candidates: runs of at least ``LEAST`` key characters with a digit, or right after a word such as
+``password``; where such a word is assigned to, any run of ``SHORT`` or more characters without white space and
+quotes; and passwords in URLs.  Each gets features of its length, character transitions, dictionary coverage, path and
+neighbouring words on both sides.  A random forest, trained with Spark's own learner on labelled findings, is turned
+into a nested CASE expression, so scanning a text is one projection inside the scan's stage: no Python, no shuffle.
+Every step of it takes time in proportion to a text's length and candidates (their offsets: times its logarithm).
+
+The dictionary is learned: the ``DICTIONARY`` most frequent words of letters of all texts, beside words of programs.
 Labelled findings are a table (before, candidate, after, label).  ``labelled_findings`` makes one by rule: keys
-of usual forms in assignments against checksums, identifiers, numbers, paths and placeholders.
+of usual forms in assignments, headers and URLs against checksums, identifiers, numbers, paths, code and placeholders.
 
 Edge cases: a null text stays null and has no findings; an empty text has none; texts of any length are scanned
 whole; equal rows give equal findings; an empty table gives an empty result.  The column ``findings`` is
@@ -17,6 +19,7 @@ replaced (and ``text`` by redaction), all others pass through, whatever their na
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +30,12 @@ LEAST, SHORT = 16, 6
 AROUND = 48
 PIECES = 2 * -(-AROUND // SHORT) + 1  # so many candidates and gaps between them have AROUND characters
 TREES, DEPTH, SEED = 25, 6, 7
-FINDINGS = 6000
+FINDINGS = 8000
+DICTIONARY = 1000
 REDACTED = "[SECRET]"
-MARK = "\x01#\x02"
+MARK = "\ufdd0"  # put around candidates; a text that holds it takes a slower way
 #: Words before a secret, words before a checksum or identifier, and words of identifiers and placeholders.
-KEY_WORDS = "password|passwd|pwd|passphrase|token|secret|api_?key|access_?key|auth|bearer|credential|private_?key"
+KEY_WORDS = "password|passwd|pwd|passphrase|token|secret|secret[_ -]?key|api[_ -]?key|access_?key|auth|bearer|credential|private_?key"
 HASH_WORDS = "commit|sha1|sha256|sha512|md5|checksum|digest|etag|revision|uuid|guid|hash|integrity|build|order|invoice|isbn|card"
 WORDS = (
     "access|account|address|admin|after|all|and|api|app|array|auth|base|before|build|cache|change|class|client|code|config|data|"
@@ -40,7 +44,11 @@ WORDS = (
     "placeholder|please|post|prod|python|query|read|replace|request|response|sample|secret|server|service|session|set|size|src|"
     "start|state|string|system|table|test|text|the|time|token|type|update|url|user|usr|value|version|view|with|work|write|your"
 )
-FEATURES = ("length", "transitions", "digits", "distinct", "words", "syllables", "upper", "path", "key_word", "hash_word", "assigned", "prefix", "uuid")
+FEATURES = (
+    "length", "transitions", "digits", "distinct", "words", "syllables", "upper", "path", "key_word", "hash_word", "assigned", "prefix", "uuid",
+    "quoted", "code_after", "word_after", "address", "code",
+)
+PREFIXES = "AKIA|ASIA|gh[pousr]_|github_pat_|xox[abpsr]-|[srp]k_live_|glpat-|npm_|AIza|SG\\.|eyJ|hf_|dop_v1_"
 
 
 def _assigned() -> str:
@@ -57,10 +65,24 @@ def _assigned() -> str:
     return f"(?<=[=:>\\s\"'`])(?:{near})(?i:{whole})"
 
 
-#: Keys of known forms and addresses are left to the second pattern, wherever they stand in the run.
-_PLAIN = rf"{_assigned()}(?![=:>])(?!\S*(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk_live_|glpat-|://))[^\s\"'`]{{{SHORT - 1},}}[^\s\"'`,;.:)\]}}>]"
+#: Keys of known forms and addresses are left to the last pattern, where they begin in the run's first 256 characters.
+_PLAIN = rf"{_assigned()}(?![=:>])(?![^\s\"'`]{{0,256}}(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk_live_|glpat-|://))[^\s\"'`]{{{SHORT - 1},}}[^\s\"'`,;.:)\]}}>]"
+_IN_URL = rf"(?<=:)(?<=://[^\s:/@\"'`]{{1,40}}:)[^\s:/@\"'`]{{{SHORT},}}(?=@)"
 _KEY = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}(?:={{1,2}}(?!=*['\"`]?[A-Za-z0-9+/_-]))?"  # padding, not the sign of an assignment
-CANDIDATE = f"{_PLAIN}|{_KEY}"
+CANDIDATE = f"{_IN_URL}|{_PLAIN}|{_KEY}"
+_ADDRESS = r"://[^\s:/@]{1,40}:$"
+
+
+def counts(before: Column, candidate: Column) -> Column:
+    """Whether a candidate is judged at all: one with a digit, or right after a key word or a URL's user."""
+    return candidate.rlike("[0-9]") | F.lower(before).rlike(f"(?:{KEY_WORDS})[^a-z]*$") | before.rlike(_ADDRESS)
+
+
+def dictionary(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> tuple[str, ...]:
+    """Words of programs and the ``most`` most frequent words of 3 to 16 letters of all texts, of equals the first by name."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^a-z0-9_/+=\\-]+")).alias("w")).where(F.col("w").rlike("^[a-z]{3,16}$"))
+    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).select("w").collect()
+    return tuple(sorted({*WORDS.split("|"), *(r["w"] for r in top)}))
 
 
 def _share(c: Column, pattern: str) -> Column:
@@ -68,7 +90,9 @@ def _share(c: Column, pattern: str) -> Column:
     return F.lit(1.0) - F.length(F.regexp_replace(c, pattern, "")) / F.greatest(F.length(c), F.lit(1))
 
 
-def features(before: Column, c: Column, after: Column) -> list[Column]:
+def features(before: Column, c: Column, after: Column, known: tuple[str, ...]) -> list[Column]:
+    parts = F.regexp_extract_all(c, F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0))
+    covered = F.aggregate(parts, F.lit(0), lambda total, x: total + F.when(F.lower(x).isin(*known), F.length(x)).otherwise(0))
     n = F.greatest(F.length(c), F.lit(1)).cast("double")
     count = lambda p: F.regexp_count(c, F.lit(p))
     flag = lambda x: x.cast("double")
@@ -78,63 +102,89 @@ def features(before: Column, c: Column, after: Column) -> list[Column]:
         (count("[a-z]+") + count("[A-Z]+") + count("[0-9]+") + count("[^A-Za-z0-9]+") - 1) / n,
         _share(c, "[0-9]"),
         F.size(F.array_distinct(F.split(c, ""))) / n,
-        _share(F.lower(c), WORDS),
+        covered / n,
         F.regexp_count(F.lower(c), F.lit("[aeiouy][b-df-hj-np-tv-xz]")) / n,
         _share(c, "[A-Z]"),
         count("/") / n + flag(before.rlike(r"[/.\\]$")),
-        flag(near.rlike(f"(?:{KEY_WORDS})[^a-z]*$")),
+        flag(near.rlike(f"(?:{KEY_WORDS})(?:[^a-z]+(?:is|was))?[^a-z]*$")),
         flag(near.rlike(f"(?:{HASH_WORDS})[^a-z]*$")),
         flag(before.rlike(r"(?:[=:]|=>)\s*[\"'`]?$")),
-        flag(c.rlike("^(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk_live_|glpat-)")),
+        flag(c.rlike(f"^(?:{PREFIXES})")),
         flag(c.rlike("^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")),
+        flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
+        flag(after.rlike(r"^[(\[{<.\\$]")),
+        flag(after.rlike("^[ \n,;]*[a-z]{2,} [a-z]{2,}")),
+        flag(before.rlike(_ADDRESS) & after.startswith("@")),
+        flag(c.rlike(r"[(){}\[\]<>$%*]|\.[a-z]|^[.,;]|,")),
     ]
 
 
 # --------------------------------------------------------------------------- training
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """``n`` labelled findings by rule, the same each time."""
-    i = F.col("id")
-    pick = lambda salt, *options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
+def labelled_findings(spark: SparkSession, n: int = FINDINGS, known: tuple[str, ...] = (), first: int = 0) -> DataFrame:
+    """``n`` labelled findings by rule, the same each time for the same dictionary; ``first`` begins another series."""
+    # a lambda's variable: interpreted, where the generated code of so many cases would outgrow a method
+    rows = spark.range(first, first + n, 1, 2).select(F.transform(F.array("id"), lambda i: _finding(i, known)).alias("all"))
+    return rows.select(F.inline("all"))
+
+
+def _finding(i: Column, known: tuple[str, ...]) -> Column:
+    listed = [x for x in (known or tuple(WORDS.split("|"))) if len(x) > 3 and not re.search(f"{KEY_WORDS}|{HASH_WORDS}", x)]
+    listed = listed[:: max(1, len(listed) // 400)]
+    strings = lambda options: F.split(F.lit("\x1f".join(options)), "\x1f") if all(isinstance(x, str) for x in options) else F.array(*(x if isinstance(x, Column) else F.lit(x) for x in options))
+    pick = lambda salt, *options: F.element_at(strings(options), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
     raw = F.concat(*(F.sha2(F.concat_ws("-", i.cast("string"), F.lit(k)), 256) for k in "ab"))
     base = F.regexp_replace(F.base64(F.unhex(raw)), "[\\r\\n=]", "")
     sized = lambda c, *sizes: F.substring(c, F.lit(1), pick(11, *sizes).cast("int"))
     alnum = F.regexp_replace(base, "[+/]", "")
     digits = F.translate(raw, "abcdef", "135790")
-    word = lambda salt: pick(salt, "ther", "tion", "eaner", "schung", "ment", "ando", "over", "under", "elle", "able", "inter", "heit", "zione", "anre")
-    prose = F.concat(word(1), word(2), word(3), word(4), word(5))
+    word = lambda salt: pick(salt, *listed)
+    syllable = lambda salt: F.concat(pick(salt, *"bcdfglmnprstv", "ch", "st", "br"), pick(salt + 500, *"aeiou", "ou", "ea"), pick(salt + 900, "", "n", "r", "s", "l", "m"))
+    prose = F.concat(syllable(1), syllable(2), syllable(3), syllable(4), syllable(5), syllable(15), pick(16, "", syllable(17)), pick(18, "", syllable(19)))
+    glued = F.concat(word(1), pick(70, "", "-", "_"), word(2), pick(70, "", "-", "_"), word(3), pick(71, "", word(4)))
+    camel = F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4)), pick(31, "", "2", "V3"))
     names = ("user", "token", "value", "default", "config", "session", "account", "client", "service", "request", "access", "password", "handler", "example")
     ident = F.concat(*(x for k in range(4) for x in (pick(20 + k, *names), pick(30, "_", "_", "-")))).substr(F.lit(1), F.lit(60))
     ident = F.regexp_replace(F.concat(ident, pick(31, "", "2", "v3", "01")), "[_-]$", "")
     key = pick(41, "password", "token", "secret", "api_key", "apikey", "access_key", "auth_token", "pwd", "client_secret", "Password", "TOKEN", "SECRET_KEY")
     ops = pick(42, "=", ' = "', ": ", ':"', "='", ' = "', "=")
     long_key = pick(54, "AWS_SECRET_ACCESS_KEY", "github_access_token", "DATABASE_PASSWORD", "production-api-key", "oauth2_client_secret", "SLACK_BOT_TOKEN_SECRET", "admin_user_password")
-    tail = pick(43, '"', " ", "'", ", ", '"\n')
+    said = F.concat(pick(72, "the ", "my ", "a ", "this "), pick(73, "token", "password", "secret", "api key", "access token", "auth token"), pick(74, " ", " is ", ": ", " was "))
+    follows = F.concat(pick(75, " ", ", ", ". ", " "), word(12), F.lit(" "), word(13))
+    tail = F.when(F.right(ops, F.lit(1)).isin('"', "'"), F.concat(F.right(ops, F.lit(1)), pick(43, "", ",", "\n", " ", ";"))).otherwise(pick(43, "\n", " ", ", ", ";", follows))
     neutral = F.concat(word(6), F.lit(" "), word(7), pick(44, " ", ". ", ", ", " ", "\n"))
     hashed = pick(45, "commit ", "sha256:", "md5=", "checksum: ", "digest=", "etag: ", "revision ", "build=", 'hash = "')
-    cases = [  # (before, candidate, label)
-        (F.concat(neutral, key, ops), sized(raw, 16, 18, 20, 24, 32, 40, 40, 64), 1),
-        (F.concat(neutral, key, ops), F.upper(sized(raw, 16, 18, 20, 32, 40)), 1),
-        (F.concat(neutral, key, ops), sized(alnum, 16, 20, 24, 32, 40, 48), 1),
-        (F.concat(neutral, key, ops), sized(base, 20, 28, 32, 40, 44, 64), 1),
-        (F.concat(neutral, long_key, ops), sized(F.when(F.pmod(F.floor(i / 7), F.lit(2)) == 0, base).otherwise(raw), 20, 32, 32, 40, 40, 64), 1),
-        (F.concat(neutral, key, ops), F.concat(pick(56, "", "", "Tr", "pa", "Zq"), sized(alnum, 6, 8, 9, 10, 12, 14), pick(57, "", "!", "&3", "#", "@9x"), pick(58, "", "", "7", "K2")), 1),
-        (F.concat(neutral, key, ops), F.concat(word(9), pick(59, "1", "x1", "42", "2024", "7z", "&3", "!9", "$5e")), 1),
-        (F.concat(neutral, key, ops), F.concat(pick(60, "Tr0ub", "hunt3r", "S3cr", "p4ss", "w1nt", "L0nd", "dr4g"), pick(61, "4dor", "er", "on", "et", "ka"), pick(62, "&3", "!", "2x1", "#7", "$", "99")), 1),
-        (F.concat(neutral, key, ops), pick(63, "required", "optional", "undefined", "invalid", "string", "String,", "None,None", "<your-password>", "${PASSWORD}", "{{password}}", "os.environ", "process.env.TOKEN", "changeme", "xxxxxxxx", "********", "getpass()", "self.token", "get_token(user)", "password", "example", "placeholder", "config.get(key)", "$DB_PASSWORD", "%(password)s", "Optional[str]"), 0),
-        (F.concat(neutral, key, pick(64, ": ", ": ", " = ", "=")), F.concat(word(10), pick(65, "", "", ".", word(11))), 0),
-        (neutral, F.concat(long_key, pick(55, "", "_2", "_V1", "01")), 0),
-        (neutral, F.concat(pick(46, "AKIA", "ASIA"), F.upper(F.substring(alnum, 1, 16))), 1),
-        (neutral, F.concat(pick(47, "ghp_", "gho_", "sk_live_", "glpat-", "xoxb-"), F.substring(alnum, 1, 36)), 1),
-        (neutral, F.substring(digits, 1, 16), 0),
-        (F.concat(neutral, pick(48, "card ", "order ", "isbn ", "invoice: ", "")), sized(digits, 16, 17, 18, 20, 24), 0),
-        (F.concat(neutral, hashed), sized(raw, 32, 40, 40, 64), 0),
-        (neutral, sized(raw, 16, 32, 40, 64), 0),
-        (F.concat(neutral, pick(49, "id=", "uuid: ", "request ", "guid ", "token ")), F.concat_ws("-", *(F.substring(raw, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), 0),
-        (F.concat(neutral, key, ops), ident, 0),
-        (F.concat(neutral, key, ops), pick(50, "xxxxxxxxxxxxxxxxxxxx", "your_api_key_goes_here", "1234567890123456", "0000000000000000", "changeme_changeme", "AAAAAAAAAAAAAAAAAAAAAAAA", "example_token_value1"), 0),
-        (neutral, prose, 0),
-        (neutral, F.upper(prose), 0),
-        (F.concat(neutral, pick(51, "/", "./", "http://", "src/", "")), F.concat_ws("/", pick(52, "usr", "home", "src", "var"), word(8), pick(53, "lib", "data", "python3", "v2"), prose), 0),
+    mixed = F.concat(pick(60, "Tr0ub", "hunt3r", "S3cr", "p4ss", "w1nt", "L0nd", "dr4g", F.initcap(word(20))), pick(61, "4dor", "er", "on", "et", "ka", "_", "99"), pick(62, "&3", "!", "2x1", "#7", "$", "99"))
+    random = F.concat(pick(56, "", "", "Tr", "pa", "Zq"), sized(alnum, 6, 8, 9, 10, 12, 14), pick(57, "", "!", "&3", "#", "@9x"), pick(58, "", "", "7", "K2"))
+    assigned, uuid = F.concat(neutral, key, ops), F.concat_ws("-", *(F.substring(raw, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    cases = [  # (before, candidate, after, label)
+        (assigned, sized(raw, 16, 18, 20, 24, 32, 40, 40, 64), tail, 1),
+        (assigned, F.upper(sized(raw, 16, 18, 20, 32, 40)), tail, 1),
+        (assigned, sized(alnum, 16, 20, 24, 32, 40, 48), tail, 1),
+        (assigned, sized(base, 20, 28, 32, 40, 44, 64), tail, 1),
+        (F.concat(neutral, long_key, ops), sized(F.when(F.pmod(F.floor(i / 7), F.lit(2)) == 0, base).otherwise(raw), 20, 32, 32, 40, 40, 64), tail, 1),
+        (assigned, random, tail, 1),
+        (assigned, F.concat(word(9), pick(59, "1", "x1", "42", "2024", "7z", "&3", "!9", "$5e")), tail, 1),
+        (assigned, mixed, tail, 1),
+        (F.concat(neutral, said), sized(F.when(F.pmod(F.floor(i / 7), F.lit(2)) == 0, alnum).otherwise(raw), 20, 32, 40, 40, 64), follows, 1),
+        (F.concat(neutral, pick(76, "Authorization: Bearer ", "authorization: bearer ", "Authorization: token ", "Authorization: Basic ")), sized(base, 24, 32, 40, 64), tail, 1),
+        (F.concat(neutral, pick(77, "postgres://", "https://", "mysql://", "amqp://", "redis://", "mongodb+srv://"), pick(78, "admin", "root", "user", "app", word(14)), F.lit(":")), F.when(F.pmod(F.floor(i / 7), F.lit(2)) == 0, mixed).otherwise(random), F.concat(F.lit("@"), word(15), F.lit(".example/db")), 1),
+        (neutral, F.concat(pick(46, "AKIA", "ASIA"), F.upper(F.substring(alnum, 1, 16))), follows, 1),
+        (neutral, F.concat(pick(47, "ghp_", "gho_", "sk_live_", "glpat-", "xoxb-", "npm_", "AIza", "hf_", "eyJ"), F.substring(alnum, 1, 36)), follows, 1),
+        (assigned, pick(63, "required", "optional", "undefined", "invalid", "string", "String,", "None,None", "<your-password>", "${PASSWORD}", "{{password}}", "os.environ", "process.env.TOKEN", "changeme", "xxxxxxxx", "********", "getpass()", "self.token", "get_token(user)", "password", "example", "placeholder", "config.get(key)", "$DB_PASSWORD", "%(password)s", "Optional[str]"), tail, 0),
+        (F.concat(neutral, key, pick(64, ": ", ": ", " = ", "=")), F.concat(word(10), pick(65, "", "", ".", word(11))), follows, 0),
+        (F.concat(neutral, key, pick(64, " = ", "=", ": ")), F.concat(word(10), pick(66, ".", "_", "::"), word(11), pick(67, "", "()", "[0]", "(x1)", ".v2")), pick(68, "\n", "(", "[", ".get(", ")", ";"), 0),
+        (neutral, F.concat(long_key, pick(55, "", "_2", "_V1", "01")), pick(69, "=", ": ", " = "), 0),
+        (neutral, F.substring(digits, 1, 16), follows, 0),
+        (F.concat(neutral, pick(48, "card ", "order ", "isbn ", "invoice: ", "")), sized(digits, 16, 17, 18, 20, 24), tail, 0),
+        (F.concat(neutral, hashed), sized(raw, 32, 40, 40, 64), tail, 0),
+        (neutral, sized(raw, 16, 32, 40, 64), follows, 0),
+        (F.concat(neutral, pick(49, "id=", "uuid: ", "request ", "guid ", "session ")), uuid, tail, 0),
+        (assigned, ident, tail, 0),
+        (assigned, pick(50, "xxxxxxxxxxxxxxxxxxxx", "your_api_key_goes_here", "1234567890123456", "0000000000000000", "changeme_changeme", "AAAAAAAAAAAAAAAAAAAAAAAA", "example_token_value1"), tail, 0),
+        (F.concat(neutral, pick(79, "", key, "class ", "def ")), F.when(F.pmod(F.floor(i / 7), F.lit(2)) == 0, glued).otherwise(camel), pick(80, "(", " ", ".", "\n", follows), 0),
+        (neutral, prose, follows, 0),
+        (neutral, F.upper(prose), follows, 0),
+        (F.concat(neutral, pick(51, "/", "./", "http://", "src/", "")), F.concat_ws("/", pick(52, "usr", "home", "src", "var"), word(8), pick(53, "lib", "data", "python3", "v2"), glued), tail, 0),
     ]
     kind = F.pmod(i, F.lit(len(cases)))
 
@@ -144,7 +194,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
             out = F.when(kind == k, case[at] if isinstance(case[at], Column) else F.lit(case[at])).otherwise(out)
         return out
 
-    return spark.range(0, n, 1, 2).select(chosen(0).alias("before"), chosen(1).alias("candidate"), tail.alias("after"), chosen(2).cast("double").alias("label"))
+    return F.struct(*(chosen(k).alias(name) for k, name in enumerate(("before", "candidate", "after"))), chosen(3).cast("double").alias("label"))
 
 
 def _tree(lines: list[str]) -> str:
@@ -168,90 +218,93 @@ def forest_sql(model) -> str:
     return "(" + " + ".join(trees) + f") / {len(trees)}D"
 
 
-def train(findings: DataFrame) -> str:
-    """A forest fitted to labelled findings (before, candidate, after, label), as SQL."""
+@dataclass
+class Model:
+    """``forest``: SQL of the share of trees for a secret, in terms of a struct ``f``; ``known``: the dictionary."""
+
+    forest: str
+    known: tuple[str, ...]
+
+
+def trained(docs: DataFrame, text: str = "text") -> Model:
+    """Dictionary of all texts, and the forest fitted to findings made with it."""
+    known = dictionary(docs, text)
+    return train(labelled_findings(docs.sparkSession, known=known), known)
+
+
+def train(findings: DataFrame, known: tuple[str, ...] = tuple(sorted(WORDS.split("|")))) -> Model:
+    """A forest fitted to labelled findings (before, candidate, after, label)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    cols = features(F.col("before"), F.col("candidate"), F.col("after"))
+    cols = features(F.col("before"), F.col("candidate"), F.col("after"), known)
     rows = findings.select("label", *(c.alias(n) for c, n in zip(cols, FEATURES, strict=True)))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "features")
     learner = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", maxMemoryInMB=64)
-    return forest_sql(learner.fit(rows))
+    return Model(forest_sql(learner.fit(rows)), known)
 
 
 # --------------------------------------------------------------------------- scanning
-def scan(docs: DataFrame, forest: str, text: str = "text", out: str = "findings") -> DataFrame:
-    """``docs`` with an array of findings: start, before, candidate, after, score, secret."""
-    own = docs.drop(out)
-    row = F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("_row")  # so that no column can clash with those below
-    parts = own.select(row, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    # split compiles its pattern for each row, which takes longer than to search a text; so the long one only marks
-    marked = F.split(F.regexp_replace("_t", F.lit(CANDIDATE), F.lit(MARK)), MARK, -1)
-    between = F.when(F.contains(F.col("_t"), F.lit(MARK)), F.split("_t", CANDIDATE, -1)).otherwise(marked)
-    parts = parts.select("_row", F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0)).alias("_own"), between.alias("_between"))
-    # element i of _own stands between elements i and i + 1 of _between; in turn they are the whole text
-    turns = F.flatten(F.transform("_between", lambda b, i: F.array(b, F.coalesce(F.get("_own", i), F.lit("")))))
-    starts = F.aggregate(
-        F.arrays_zip("_own", "_between"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["_between"]) + F.coalesce(F.length(x["_own"]), F.lit(0))).alias("at"),
-            F.concat(acc["all"], F.array(acc["at"] + F.length(x["_between"]))).alias("all"),
-        ),
-    )["all"]
-    index = F.when(F.size("_own") > 0, F.sequence(F.lit(0), F.size("_own") - 1)).otherwise(F.array().cast("array<int>"))
-    edge = lambda cut: F.transform(turns, lambda x: cut(x, F.lit(AROUND)))
+def _judged(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """(_row, _pieces, _found): the row, its text in turns of other text and candidate, and what is known of each candidate."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # so that no column can clash with those below
+    parts = docs.select(row, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
+    own, between = F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0)), F.split("_t", CANDIDATE, -1)
+    zipped = F.flatten(F.transform(F.arrays_zip(between.alias("b"), own.alias("c")), lambda x: F.array(x["b"], F.coalesce(x["c"], F.lit("")))))
+    marked = F.split(F.regexp_replace("_t", F.lit(CANDIDATE), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    parts = parts.select("_row", F.when(F.contains(F.col("_t"), F.lit(MARK)), F.slice(zipped, 1, F.size(zipped) - 1)).otherwise(marked).alias("_pieces"))
+    n = F.floor((F.size("_pieces") - 1) / 2).cast("int")
+    # ends of the pieces: each round adds what stands 1, 2, 4, ... places before
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_pieces"))).cast("int") - 1)
+    ends = F.aggregate(
+        rounds,
+        F.transform("_pieces", F.length),
+        lambda total, k: F.transform(total, lambda x, i: x + F.coalesce(F.get(total, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))),
+    )
+    edge = lambda cut: F.transform("_pieces", lambda x: cut(x, F.lit(AROUND)))
     # a lambda's variable, so that none of these is worked out again for each candidate
-    held = F.struct(F.col("_own").alias("own"), starts.alias("starts"), edge(F.right).alias("tails"), edge(F.left).alias("heads"))
+    held = F.struct(F.col("_pieces").alias("own"), ends.alias("ends"), edge(F.right).alias("tails"), edge(F.left).alias("heads"))
+    near = lambda p, at, places: F.concat(*(F.coalesce(F.get(p, at + k), F.lit("")) for k in places))
     each = lambda p: F.transform(
-        index,
+        F.sequence(F.lit(0), n - 1),
         lambda i: F.struct(
-            F.get(p["starts"], i).alias("start"),
-            F.right(F.array_join(F.slice(p["tails"], F.greatest(i * 2 + 2 - PIECES, F.lit(1)), F.least(i * 2 + 1, F.lit(PIECES))), ""), F.lit(AROUND)).alias("before"),
-            F.get(p["own"], i).alias("candidate"),
-            F.left(F.array_join(F.slice(p["heads"], i * 2 + 3, F.lit(PIECES)), ""), F.lit(AROUND)).alias("after"),
+            F.get(p["ends"], i * 2).alias("start"),
+            F.right(near(p["tails"], i * 2 + 1, range(-PIECES, 0)), F.lit(AROUND)).alias("before"),
+            F.get(p["own"], i * 2 + 1).alias("candidate"),
+            F.left(near(p["heads"], i * 2 + 1, range(1, PIECES + 1)), F.lit(AROUND)).alias("after"),
         ),
     )
-    found = F.coalesce(F.flatten(F.transform(F.when(F.size("_own") > 0, F.array(held)), each)), F.array())
-    found = F.filter(found, lambda x: x["candidate"].rlike("[0-9]") | F.lower(x["before"]).rlike(f"(?:{KEY_WORDS})[^a-z]*$"))
-    with_f = F.transform(
-        found,
-        lambda x: F.struct(
-            x.alias("x"), F.struct(*(c.alias(n) for c, n in zip(features(x["before"], x["candidate"], x["after"]), FEATURES, strict=True))).alias("f")
-        ),
-    )
-    parts = parts.withColumn("_f", with_f)
-    scored = F.expr(f"transform(_f, y -> named_struct('x', y.x, 'score', {re.sub(r'\bf\.', 'y.f.', forest)}))")
+    found = F.flatten(F.transform(F.when(n > 0, F.array(held)).otherwise(F.array()), each))
+    told = lambda x: F.struct(*(c.alias(k) for c, k in zip(features(x["before"], x["candidate"], x["after"], model.known), FEATURES, strict=True)))
+    with_f = F.transform(found, lambda x: F.struct(x.alias("x"), F.when(counts(x["before"], x["candidate"]), told(x)).alias("f")))
+    forest = re.sub(r"\bf\.", "y.f.", model.forest)
+    scored = F.expr(f"transform(_f, y -> named_struct('x', y.x, 'score', CASE WHEN y.f IS NOT NULL THEN {forest} END))")
     final = F.transform(
         scored,
-        lambda y: F.struct(
-            *(y["x"][n].alias(n) for n in ("start", "before", "candidate", "after")), y["score"].alias("score"), (y["score"] >= 0.5).alias("secret")
-        ),
+        lambda y: F.struct(*(y["x"][k].alias(k) for k in ("start", "before", "candidate", "after")), y["score"].alias("score"), (y["score"] >= 0.5).alias("secret")),
     )
-    return parts.select("_row.*", final.alias(out))
+    return parts.withColumn("_f", with_f).select("_row", "_pieces", final.alias("_found"))
 
 
-def redact(docs: DataFrame, forest: str, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: Model, text: str = "text", out: str = "findings") -> DataFrame:
+    """``docs`` with an array of findings: start, before, candidate, after, score, secret."""
+    judged = _judged(docs.drop(out), model, text)
+    return judged.select("_row.*", F.filter("_found", lambda x: x["score"].isNotNull()).alias(out))
+
+
+def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with every secret replaced by a mark; other texts stay byte for byte."""
-    findings = common.unused(docs, "findings")
-    found = scan(docs, forest, text, findings)
-    secret = F.filter(findings, lambda x: x["secret"])
-    pieces = F.aggregate(
-        secret,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("all")),
-        lambda acc, x: F.struct(
-            (x["start"] + F.length(x["candidate"])).alias("at"),
-            F.concat(acc["all"], F.array(F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.lit(REDACTED))).alias("all"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["all"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))),
-    )
-    return found.withColumn(text, F.when(F.size(secret) > 0, pieces).otherwise(F.col(text))).drop(findings)
+    judged = _judged(docs, model, text)
+    gone = lambda i: (i % 2 == 1) & F.coalesce(F.get("_found", F.floor(i / 2).cast("int"))["secret"], F.lit(False))
+    clean = F.array_join(F.transform("_pieces", lambda x, i: F.when(gone(i), F.lit(REDACTED)).otherwise(x)), "")
+    some = F.exists("_found", lambda x: F.coalesce(x["secret"], F.lit(False)))
+    before = F.col("_row")[text]
+    return judged.select(*(F.when(some, clean).otherwise(before).alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def secret_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: secrets are replaced by a mark; all documents and columns stay."""
-    out = redact(docs, train(labelled_findings(spark)))
+    out = redact(docs, trained(docs))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
     return out.select(*docs.columns)
@@ -260,5 +313,5 @@ def secret_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document, with the forest's score and verdict."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, train(labelled_findings(spark))).select("doc_id", F.inline("findings"))
+    found = scan(docs, trained(docs)).select("doc_id", F.inline("findings"))
     return found.select("doc_id", "start", F.length("candidate").alias("length"), "candidate", "score", F.col("secret").alias("is_secret"))

@@ -48,9 +48,12 @@ def segments(at: list[int], scores: list[float], gap: float) -> list[tuple[int,
 
     ``at`` and ``scores``: the tokens with a positive or strongly negative score; every other token
     between them scores ``gap`` (negative).  One pass with a stack of candidates; a candidate holds its
-    first and last token and the running totals left of it and at its end.
+    first and last token, the running totals left of it and at its end, and the place of the nearest one
+    before it whose left total is lower.  The search for such a one follows these places, so each is
+    passed over once; where there is none, all candidates so far are final and leave the stack.
     """
-    stack: list[tuple[int, int, float, float]] = []
+    done: list[tuple[int, int, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []
     total, seen = 0.0, -1
     for i, s in zip(at, scores, strict=True):
         total += gap * (i - seen - 1)
@@ -58,17 +61,18 @@ def segments(at: list[int], scores: list[float], gap: float) -> list[tuple[int,
         before, total = total, total + s
         if s <= 0:
             continue
-        first, last, left, right = i, i, before, total
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
-                break
-            first, left = stack[j][0], stack[j][2]
+        first, left, j = i, before, len(stack) - 1
+        while j >= 0 and stack[j][2] >= left:
+            j = stack[j][4]
+        while j >= 0 and stack[j][3] < total:  # the two and all between them are one
+            first, _, left, _, lower = stack[j]
             del stack[j:]
-        stack.append((first, last, left, right))
-    return [(a, b, r - lo) for a, b, lo, r in stack]
+            j = lower
+        if j < 0:
+            done += [(a, b, r - lo) for a, b, lo, r, _ in stack]
+            stack.clear()
+        stack.append((first, i, left, total, j))
+    return done + [(a, b, r - lo) for a, b, lo, r, _ in stack]
 
 
 def grams(word: str) -> set[str]:

@@ -1,6 +1,10 @@
+import random
 import re
+import string
+import time
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from millrace.llm import secrets
@@ -14,17 +18,82 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def forest(spark):
-    return secrets.train(secrets.labelled_findings(spark))
+    return secrets.trained(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
-def test_forest_fits_held_out_findings(spark, forest):
-    # other ids make other findings by the same rules; the learner has seen none of them
-    rows = secrets.labelled_findings(spark, 9000).limit(9000)
-    cols = secrets.features(F.col("before"), F.col("candidate"), F.col("after"))
-    scored = rows.select("label", F.struct(*(c.alias(n) for c, n in zip(cols, secrets.FEATURES, strict=True))).alias("f")).select("label", F.expr(forest).alias("s"))
+def test_forest_fits_other_findings(spark, forest):
+    """By the same rules, of ids that the learner has not seen."""
+    rows = secrets.labelled_findings(spark, 9000, forest.known, 1_000_000)
+    cols = secrets.features(F.col("before"), F.col("candidate"), F.col("after"), forest.known)
+    told = F.struct(*(c.alias(n) for c, n in zip(cols, secrets.FEATURES, strict=True)))
+    scored = rows.select("label", F.transform(F.array(told), lambda f: f).alias("a")).select("label", F.expr(f"transform(a, f -> {forest.forest})[0]").alias("s"))
     assert scored.select(F.avg(((F.col("s") >= 0.5) == (F.col("label") == 1)).cast("int"))).first()[0] > 0.95
 
 
+def planted(seed=5, n=40):
+    """(text, secret or None) by rules, names and alphabets other than those of the training's findings."""
+    rng = random.Random(seed)
+    some = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
+    letters, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
+    out = []
+    for _ in range(n):
+        v = {k: some(letters, k) for k in (12, 22, 36, 43)} | {"h": some(hexes, rng.choice([32, 40, 48])), "p": rng.choice(["Sunny", "Kettle", "mOOn", "brick"]) + some("!$%@#", 1) + some(string.digits, 3)}
+        good = [
+            ("export STRIPE_SECRET={}", v[43]), ("my_service.token: '{}'", v["h"]), ('{{"db_password": "{}"}}', v["p"]), ("curl -H 'Authorization: Bearer {}' x", v[43]),
+            ("mysql://reader:{}@10.0.0.3:3306/sales", v["p"].replace("@", "#")), ("found ghp_{} in the log", None), ("aws key AKIA{} leaked", None), ("PASSWD={}\n", v[12]), ("the api token is {} so", v["h"]),
+            ("auth_token => \"{}\",", v[36]), ("redis_password={}", v[22]),
+        ]
+        for form, value in good:
+            if value is None:
+                own = some(letters, 36) if "ghp" in form else some(string.ascii_uppercase + string.digits, 16)
+                value = ("ghp_" if "ghp" in form else "AKIA") + own
+                form = re.sub(r"(ghp_|AKIA)\{\}", "{}", form)
+            out.append((form.format(value), value))
+        bad = [
+            f"git checkout {v['h']} fails", f"sha512-{v[43]} integrity", "def refresh_token_for_user_session2(self):", f"invoice 20240{some(string.digits, 12)} paid",
+            "password: see the manual page", f"GET /static/js/main-{some(hexes, 20)}/bundle2.min.js", "token = load_token_from_vault(region)", "secret santa starts at 10 o'clock",
+            f"order_{some(string.digits, 18)}", "passwd = input()", "https://example.com/blog/2024/how-to-rotate-keys", "password_reset_template_v2.html", f"uuid {some(hexes, 8)}-{some(hexes, 4)}-{some(hexes, 4)}-{some(hexes, 4)}-{some(hexes, 12)}",
+        ]
+        out += [(x, None) for x in bad]
+    return out
+
+
+def test_precision_and_recall_by_other_rules(spark, documents, forest):
+    rows = planted()
+    got = {r.doc_id: [f.candidate for f in r.findings if f.secret] for r in secrets.scan(documents([f"so we saw this: {x} and that" for x, _ in rows]), forest).collect()}
+    right = sum(v is not None and v in got[k] for k, (_, v) in enumerate(rows))
+    told, real = sum(len(x) for x in got.values()), sum(v is not None for _, v in rows)
+    print(f"recall {right / real:.3f}, precision {right / told:.3f}")
+    missed = [(x, got[k]) for k, (x, v) in enumerate(rows) if v is not None and v not in got[k]]
+    wrong = [(x, got[k]) for k, (x, v) in enumerate(rows) if any(c != v for c in got[k])]
+    assert right >= 0.9 * real, missed[:40]
+    assert right >= 0.9 * told, wrong[:40]
+
+
+def test_urls_and_prose(spark, documents, forest):
+    texts = ["postgres://admin:s3cr3tPassw0rd@db.host/x", f"the token {HEX} was used", "https://a.example:8080/path@x"]
+    got = {r.doc_id: [f.candidate for f in r.findings if f.secret] for r in secrets.scan(documents(texts), forest).collect()}
+    assert got == {0: ["s3cr3tPassw0rd"], 1: [HEX], 2: []}
+
+
+def test_many_candidates_in_a_text(spark, documents, forest):
+    """Time grows with the candidates, not with their square."""
+    n = 30000
+    text = " ".join(f"token={k:016x}" for k in range(n))
+    start = time.monotonic()
+    found = secrets.scan(documents([text]), forest).first().findings
+    assert [f.start for f in found] == [k * 23 + 6 for k in range(n)]
+    clean = secrets.redact(documents([text]), forest).first().text
+    assert clean == " ".join("token=" + (secrets.REDACTED if f.secret else f.candidate) for f in found)
+    assert time.monotonic() - start < 60
+
+
+def test_dictionary(spark, documents):
+    docs = documents(["bbb ccc bbb, x1yz aaa", "CCC ddd-eee", None, ""])
+    assert set(secrets.dictionary(docs, most=2)) - set(secrets.WORDS.split("|")) == {"bbb", "ccc"}
+    assert secrets.dictionary(documents([])) == tuple(sorted(secrets.WORDS.split("|")))
+
+
 def test_findings(spark, documents, forest):
     out = {r.doc_id: r for r in secrets.scan(documents(TEXTS), forest, out="findings").collect()}
     found = {k: [(f.candidate, f.secret) for f in r.findings] for k, r in out.items()}
@@ -40,10 +109,11 @@ def test_findings(spark, documents, forest):
 
 def test_candidates_are_the_patterns(spark, documents, forest):
     """Against Python's own pattern search."""
-    texts = [*TEXTS, "x1" * 40 + "== a" + "b2" * 9, "-" * 20, "1" * 15, "1" * 16]
+    texts = [*TEXTS, "ftp://joe:pass_word1@h/ x", f"{secrets.MARK}{HEX}{secrets.MARK}{HEX}", "x1" * 40 + "== a" + "b2" * 9, "-" * 20, "1" * 15, "1" * 16]
     got = secrets.scan(documents(texts), forest).collect()
     for r in got:
-        want = [m.start() for m in re.finditer(secrets.CANDIDATE, r.text) if re.search("[0-9]", m[0]) or re.search(f"(?:{secrets.KEY_WORDS})[^a-z]*$", r.text[: m.start()].lower()[-48:])]
+        want = [m.start() for m in regex.finditer(secrets.CANDIDATE, r.text)
+            if re.search("[0-9]", m[0]) or re.search(f"(?:{secrets.KEY_WORDS})[^a-z]*$", r.text[: m.start()].lower()[-48:])]
         assert [f.start for f in r.findings] == want
 
 
