@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOLDS = 5
+#: Bytes of text that a classifier learns from at most.
+SAMPLE_BYTES = 64 << 20
 #: Most rows and bytes of a batch that goes to a Python worker: with texts of some kB, Spark's own bound of rows
 #: means tens of MB for each of the copies that JVM and worker hold.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -128,28 +130,53 @@ def publish(fs, files: list[tuple[str, str]]) -> None:
 
 
 # --------------------------------------------------------------------------- samples
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """About ``max_rows`` rows (text, y) to learn from: documents outside the held-out fold with a label.
+def some_ids(rows: DataFrame, id: str, max_rows: int) -> DataFrame:
+    """The rows of about ``max_rows`` ids, chosen by a hash of the id, so the choice does not depend on partitioning."""
+    n = rows.agg(F.approx_count_distinct(id, 0.01)).first()[0]  # of ids: one that repeats counts once
+    if n <= max_rows:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(id, F.lit(17)), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
+
+
+def within_bytes(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """Rows (id, text, ...), one per id, with at most ``max_bytes`` of text together.
+
+    Texts of more than a 64th of that are left out; of the others those with the lowest hashes of the id stay.
+    """
+    size = F.octet_length("text")
+    rows = rows.where(size <= max_bytes // 64).withColumn("_h", F.xxhash64("id", F.lit(19)))
+    # by 1,024 ranges of the hash, so that the driver sees no row
+    part = F.shiftright(F.col("_h"), 54)
+    ranges = sorted(rows.groupBy(part.alias("part")).agg(F.sum(size).alias("size")).collect())
+    total, last = 0, None
+    for r in ranges:
+        total += r["size"]
+        if total > max_bytes:
+            break
+        last = r["part"]
+    if total <= max_bytes:
+        return rows.drop("_h")
+    return (rows.where(part <= last) if last is not None else rows.limit(0)).drop("_h")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """About ``max_rows`` rows (id, text, y) to learn from, of ``max_bytes`` at most: documents outside the held-out fold with a label.
 
     The ids are chosen by a hash of the id, so the choice does not depend on partitioning.  Only the
     chosen ids are broadcast, and ``max_rows`` (a parameter of each classifier) bounds them.  Null ids
-    or labels are left out; several label rows of an id count as one (the largest label).
+    or labels are left out; several label rows of an id count as one (the largest label), and so do several
+    documents (the least text).
     """
     y = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
         .where(F.col("_id").isNotNull() & F.col("_y").isNotNull())
         .where(fold("_id") != 0)
     )
-    n = y.count()
-    if n > max_rows:
-        y = y.where(F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
-    y = y.groupBy("_id").agg(F.max("_y").alias("_y"))
-    return (
-        docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-        .where(F.col("_text").isNotNull())
-        .join(F.broadcast(y), "_id")
-        .select(F.col("_id").alias("id"), F.col("_text").alias("text"), F.col("_y").alias("y"))
-    )
+    y = some_ids(y, "_id", max_rows).groupBy("_id").agg(F.max("_y").alias("_y"))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.col("_text").isNotNull())
+    rows = rows.join(F.broadcast(y), "_id").groupBy(F.col("_id").alias("id")).agg(F.min("_text").alias("text"), F.max("_y").alias("y"))
+    rows = Scratch(docs.sparkSession, "sample").keep(rows, label)
+    return within_bytes(rows, max_bytes)
 
 
 def collected_sample(sample: DataFrame) -> list[tuple[str, int]]:

@@ -7,8 +7,8 @@ the largest corrected count decides.
 
 A language contains the n-grams (3- and 4-grams of lower-cased letters, inside words with their boundaries)
 that it shows at least ``MIN_COUNT`` times and at ``SHARE`` of the highest rate of any language or more.  The
-fit uses at most about ``max_rows`` rows with a language (chosen by a hash of the id); prediction covers whole
-texts.
+fit uses at most about ``max_rows`` rows with a language (chosen by a hash of the id), but at least ``LEAST_ROWS`` of
+each of the ``MAX_LANGS`` most frequent languages where there are as many; prediction covers whole texts.
 
 Edge cases: a null text or one without letters is ``und`` with score 0; with letters but without any known
 n-gram it gets the most frequent learned language and score 0; ties go to the language that is more frequent
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from . import common
 
 MAX_ROWS = 4000
+LEAST_ROWS, MAX_LANGS = 50, 256
 SHARE = 0.2
 MIN_COUNT = 3
 SLOTS = 1 << 20
@@ -165,14 +166,27 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "lang_
     return own.mapInArrow(run, schema)
 
 
-def trained(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on about ``max_rows`` documents outside the held-out fold that have a text and a language."""
+def trained(docs: DataFrame, max_rows: int = MAX_ROWS, least: int = LEAST_ROWS, max_bytes: int = common.SAMPLE_BYTES) -> Model:
+    """Fit on about ``max_rows`` documents outside the held-out fold that have a text and a language.
+
+    Of each of the ``MAX_LANGS`` most frequent languages about ``least`` documents at least are taken, if there are as many.
+    A document that repeats counts once (its least text); ``max_bytes`` bounds the texts.
+    """
+    spark = docs.sparkSession
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(common.fold() != 0)
-    n = rows.select("doc_id").count()
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
-    got = rows.select("doc_id", "text", "lang").toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["text"].to_pylist(), got["lang"].to_pylist(), strict=True))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.01).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    sizes = [(r["lang"], r["n"]) for r in sizes.collect()]
+    if not sizes:
+        return Model()
+    total = sum(n for _, n in sizes)
+    share = [(lang, min(1.0, max(max_rows / total, least / max(1, n)))) for lang, n in sizes]
+    chosen = spark.createDataFrame([(lang, int(s * (1 << 30))) for lang, s in share], "lang string, bound long")
+    own = rows.select(F.col("doc_id").alias("id"), "text", "lang").join(F.broadcast(chosen), "lang")
+    own = own.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < F.col("bound")).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    scratch = common.Scratch(spark, "language")
+    got = common.within_bytes(scratch.keep(own, "sample"), max_bytes).toArrow()
+    scratch.drop("sample")
+    rows = sorted(zip(got["id"].to_pylist(), got["text"].to_pylist(), got["lang"].to_pylist(), strict=True))
     return fit([(text, lang) for _, text, lang in rows])
 
 

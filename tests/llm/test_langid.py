@@ -49,3 +49,12 @@ def test_query(spark, sf):
     got = langid.op8_language(spark, sf).collect()
     assert len(got) == len(lang)
     assert sum(r.lang_pred == lang[r.doc_id] for r in got if r.held_out) >= 0.95 * sum(r.held_out for r in got)
+
+
+def test_rare_languages_are_learned(spark):
+    """One in 2,000 documents, and an id that repeats."""
+    common = [(k, "the quick brown fox jumps over the lazy dog", "en") for k in range(20000)]
+    rare = [(100000 + k, "zwolf boxkampfer jagen viktor quer uber den grossen", "de") for k in range(10)]
+    hot = [(999999, "abc def", "en")] * 20000
+    model = langid.trained(spark.createDataFrame(common + rare + hot, "doc_id long, text string, lang string"), 500)
+    assert model.langs == ["en", "de"] and model.predict(["jagen viktor quer"])[0][0] == "de"

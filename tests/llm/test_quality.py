@@ -62,10 +62,10 @@ def test_query_and_sample(spark, sf):
     assert {r.doc_id for r in got} == docs.keys()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) for r in got)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    held = [(r.score >= 0.5) == bool(labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
-    assert sum(held) >= 0.8 * len(held)
     d, y = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     assert 5 <= common.labelled_sample(d, y, "quality", 30).count() <= 60
+    sizes = [len(r.text.encode()) for r in common.labelled_sample(d, y, "quality", 10**6, 200_000).collect()]
+    assert 20_000 <= sum(sizes) <= 200_000 and max(sizes) <= 200_000 // 64
     assert common.labelled_sample(d, y.union(y), "quality", 10**6).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in labels)
 
 
@@ -73,3 +73,20 @@ def test_stage_keeps_columns(spark, sf, documents):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = quality.quality_filter(spark, docs, sf)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+def test_sample_is_bounded_by_ids(spark):
+    """One id that stands in many rows of both tables counts once."""
+    d = spark.range(3).selectExpr("id as doc_id", "concat('text ', id) as text").union(spark.range(100_000).selectExpr("2 as doc_id", "concat('again ', id) as text"))
+    y = spark.range(100_000).selectExpr("id % 3 as doc_id", "cast(id % 2 as int) as quality")
+    got = sorted(tuple(r) for r in common.labelled_sample(d, y, "quality", 10).collect())
+    assert got == [(i, "text 1" if i == 1 else f"text {i}" if i == 0 else "again 0", 1) for i in range(3) if zlib.crc32(str(i).encode()) % 5]
+
+
+def test_both_classes_are_told_apart(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    got = quality.op7_quality(spark, "/root/testdata/sf0.1").collect()
+    held = [(r.predicted, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    shares = [sum(p == y == c for p, y in held) / sum(y == c for _, y in held) for c in (0, 1)]
+    print(f"right of low and of high quality: {shares}")
+    assert min(shares) >= 0.9
