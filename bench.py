@@ -17,6 +17,23 @@ HEADLINE = (
 )
 
 
+def duckdb_seconds(sf_dir: str) -> dict[str, float]:
+    """The yardstick: the same rows by DuckDB from the same files, the best of three runs after one to warm up."""
+    import duckdb
+
+    con, out = duckdb.connect(), {}
+    for name in sorted(x.removesuffix(".parquet") for x in os.listdir(sf_dir) if x.endswith(".parquet")):
+        con.sql(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+    for name in HEADLINE:
+        runs = []
+        for _ in range(4):
+            start = time.perf_counter()
+            con.sql(own.oracle_sql()[name]).fetch_arrow_table()
+            runs.append(time.perf_counter() - start)
+        out[name] = round(min(runs[1:]), 4)
+    return out
+
+
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = get_spark("bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, "ERROR", **{"spark.driver.memory": os.environ.get("BENCH_MEMORY", "4g")})
@@ -28,8 +45,9 @@ def main() -> None:
             found[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         seconds[name] = round(min(runs[1:]), 4)
+    duck = duckdb_seconds(sf_dir)
     sf = re.search(r"sf([\d.]+)", sf_dir)
-    print(json.dumps({"metric": "total seconds of headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": float(sf[1]) if sf else None}))
+    print(json.dumps({"metric": "total seconds of headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "duckdb": duck, "sf": float(sf[1]) if sf else None}))
     spark.stop()
 
 

@@ -13,21 +13,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _spread(df: DataFrame, keys: list, num_splits: int | None) -> DataFrame:
-    return df.repartition(num_splits, *keys) if num_splits else df
+def _grouped(df: DataFrame, keys: list[str], aggs: list[Column], num_splits: int | None, partitioner: Column | None) -> DataFrame:
+    """Aggregates per key in ``num_splits`` partitions, or in those that ``partitioner`` (an integer of the keys) names.
+
+    One shuffle in each case.  A number up to the session's takes that many neighbouring partitions of the partial
+    aggregates; more of them, or a partitioner, deal the rows out, and each partition is aggregated where it is.
+    """
+    if partitioner is not None:
+        if not num_splits:
+            raise ValueError("a partitioner needs the number of partitions")
+        p = "_partition"
+        dealt = df.withColumn(p, F.pmod(partitioner, F.lit(num_splits)).cast("int"))
+        return dealt.repartitionById(num_splits, F.col(p)).groupBy(p, *keys).agg(*aggs).drop(p)
+    if not num_splits:
+        return df.groupBy(*keys).agg(*aggs)
+    if num_splits <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.groupBy(*keys).agg(*aggs).coalesce(num_splits)
+    return df.repartition(num_splits, *keys).groupBy(*keys).agg(*aggs)
 
 
-def combine_by_key(df: DataFrame, keys: list[str], aggs: list[Column], num_splits: int | None = None) -> DataFrame:
-    """Any aggregates per key, with partial aggregation before the shuffle."""
-    if num_splits:  # partial results, not rows, are what is dealt out
-        return df.groupBy(*keys).agg(*aggs).repartition(num_splits, *keys)
-    return df.groupBy(*keys).agg(*aggs)
+def combine_by_key(df: DataFrame, keys: list[str], aggs: list[Column], num_splits: int | None = None, partitioner: Column | None = None) -> DataFrame:
+    """Any aggregates per key, with partial aggregation before the shuffle (but see ``_grouped``)."""
+    return _grouped(df, keys, aggs, num_splits, partitioner)
 
 
-def reduce_by_key(df: DataFrame, keys: list[str], aggs: dict[str, str] | list[Column], num_splits: int | None = None) -> DataFrame:
+def reduce_by_key(df: DataFrame, keys: list[str], aggs: dict[str, str] | list[Column], num_splits: int | None = None, partitioner: Column | None = None) -> DataFrame:
     """``aggs``: column -> sum, min, max, ... (named after the column), or aggregate columns."""
     cols = [getattr(F, f)(c).alias(c) for c, f in aggs.items()] if isinstance(aggs, dict) else aggs
-    return combine_by_key(df, keys, cols, num_splits)
+    return combine_by_key(df, keys, cols, num_splits, partitioner)
 
 
 def reduce_by_key_py(df: DataFrame, key: str, value: str, f: Callable, num_splits: int | None = None) -> DataFrame:
@@ -42,7 +55,7 @@ def combine_by_key_py(df: DataFrame, key: str, value: str, create: Callable, mer
     return df.sparkSession.createDataFrame(pairs, schema)
 
 
-def group_by_key(df: DataFrame, keys: list[str], value: str | Column, name: str = "values", ordered: bool = False, num_splits: int | None = None) -> DataFrame:
+def group_by_key(df: DataFrame, keys: list[str], value: str | Column, name: str = "values", ordered: bool = False, num_splits: int | None = None, partitioner: Column | None = None) -> DataFrame:
     """All values per key, in no order unless ``ordered``; nulls are kept.
 
     A key's values become one row, so this is for groups that fit a task; ``reduce_by_key`` is for the rest.
@@ -50,15 +63,15 @@ def group_by_key(df: DataFrame, keys: list[str], value: str | Column, name: str
     v = F.col(value) if isinstance(value, str) else value
     boxed = F.collect_list(F.struct(v.alias("v")))  # a struct, for collect_list leaves nulls out
     values = F.transform(F.array_sort(boxed) if ordered else boxed, lambda x: x["v"])
-    return _spread(df, keys, num_splits).groupBy(*keys).agg(values.alias(name))
+    return _grouped(df, keys, [values.alias(name)], num_splits, partitioner)
 
 
-def group_by(df: DataFrame, key: str | Column, name: str = "key", items: str = "items", num_splits: int | None = None) -> DataFrame:
-    """Rows grouped by a derived key: (key, array of rows)."""
+def group_by(df: DataFrame, key: str | Column, name: str = "key", items: str = "items", num_splits: int | None = None, partitioner: Column | None = None) -> DataFrame:
+    """Rows grouped by a derived key: (key, array of rows); ``partitioner`` is an integer of the column ``name``."""
     k = (F.col(key) if isinstance(key, str) else key).alias(name)
     row = F.struct(*df.columns) if len(df.columns) > 1 else F.col(df.columns[0])
     keyed = df.select(k, row.alias(items))
-    return _spread(keyed, [name], num_splits).groupBy(name).agg(F.collect_list(items).alias(items))
+    return _grouped(keyed, [name], [F.collect_list(items).alias(items)], num_splits, partitioner)
 
 
 def count_by_value(df: DataFrame, *columns: str, name: str = "count") -> DataFrame:

@@ -14,14 +14,17 @@ def sample(df: DataFrame, with_replacement: bool, fraction: float, seed: int | N
     return df.sample(withReplacement=with_replacement, fraction=fraction, seed=seed)
 
 
-def sample_rate(n: int, total: int, with_replacement: bool) -> float:
-    """A rate at which a sample of ``total`` rows has ``n`` or more with 99.99 % probability."""
-    share = n / total
-    if with_replacement:
-        deviations = 9 if n < 12 else 5
-        return share + deviations * math.sqrt(share / total)
-    gamma = -math.log(1e-4) / total
-    return min(1.0, share + gamma + math.sqrt(gamma * gamma + 2 * gamma * share))
+def sample_rate(n: int, total: int, miss: float = 1e-4) -> float:
+    """A rate at which drawing ``total`` rows with replacement gives ``n`` or more but for a chance of ``miss``.
+
+    The number drawn is a Poisson count, which is below n with at most exp(n - mean - n log(n / mean)); the mean is
+    the least for which that is ``miss``.
+    """
+    low, high = float(n), 2.0 * n + 40
+    for _ in range(60):
+        mean = (low + high) / 2
+        low, high = (mean, high) if mean - n + n * math.log(n / mean) < -math.log(miss) else (low, mean)
+    return high / total
 
 
 def take_sample_df(df: DataFrame, with_replacement: bool, n: int, seed: int = 0) -> DataFrame:
@@ -35,7 +38,7 @@ def take_sample_df(df: DataFrame, with_replacement: bool, n: int, seed: int = 0)
     total = df.count()
     if total == 0:
         return df.limit(0)
-    rate = sample_rate(n, total, True)
+    rate = sample_rate(n, total)
     for k in range(100):  # each try falls short with a chance of 1e-4
         got = df.sample(withReplacement=True, fraction=rate, seed=seed + k)
         if got.limit(n).count() >= n:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.scratch import Workspace
+
 Expr = str | Column
 
 
@@ -65,7 +68,13 @@ def map_partitions_with_index(df: DataFrame, f: Callable[[int, Iterator[tuple]],
     return df.mapInArrow(run, target)
 
 
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType | None = None) -> DataFrame:
+    """map_partitions with a closure over a partition's Arrow batches: no Python object per row."""
+    return df.mapInArrow(f, df.schema if schema is None else _target(schema))
+
+
 def map_partitions(df: DataFrame, f: Callable[[Iterator[tuple]], Iterable], schema: str | T.StructType) -> DataFrame:
+    """A closure over rows; prefer ``map_batches`` where Arrow's own functions can say it."""
     return map_partitions_with_index(df, lambda _, rows: f(rows), schema)
 
 
@@ -119,11 +128,42 @@ def flat_map_values(df: DataFrame, keys: list[str], array: Expr, name: str = "va
 def zip_partitions(left: DataFrame, right: DataFrame) -> DataFrame:
     """Element j of partition i of both sides; each partition is cut to the shorter.
 
-    Both sides must come straight from their source, for positions are read from the unshuffled input.
+    Narrow: partition i of both sides is read by one task, packed as Arrow streams, and nothing is shuffled.  Both
+    sides need the same number of partitions, and a partition has to fit a task (a packed one has 2 GB at most).
     """
-    place = "_place"
-    a, b = left.withColumn(place, F.monotonically_increasing_id()), right.withColumn(place, F.monotonically_increasing_id())
-    return a.join(b, place).drop(place)
+    schema = T.StructType([*left.schema.fields, *right.schema.fields])
+    packs = left.mapInArrow(_packed, "rows binary").rdd.zip(right.mapInArrow(_packed, "rows binary").rdd)
+    pairs = df_of(left.sparkSession, packs.map(lambda p: (bytes(p[0][0]), bytes(p[1][0]))), "a binary, b binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                sides = [pa.ipc.open_stream(x.as_py()).read_all() if len(x.as_py()) else None for x in (a, b)]
+                if None not in sides:
+                    n = min(map(len, sides))
+                    columns = [c for side in sides for c in side.slice(0, n).columns]
+                    yield from pa.Table.from_arrays(columns, names=[str(k) for k in range(len(columns))]).rename_columns(target.names).cast(target).to_batches()
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the partition as an Arrow stream, or nothing of it where it is empty."""
+    sink, writer = pa.BufferOutputStream(), None
+    for batch in batches:
+        writer = writer or pa.ipc.new_stream(sink, batch.schema)
+        writer.write_batch(batch)
+    if writer:
+        writer.close()
+    yield pa.RecordBatch.from_pydict({"rows": pa.array([sink.getvalue().to_pybytes() if writer else b""], pa.binary())})
+
+
+def df_of(spark, rdd, schema: str) -> DataFrame:
+    """A table of an RDD of tuples that are known to fit ``schema``."""
+    return spark.createDataFrame(rdd, schema, verifySchema=False)
 
 
 def zip_ordered(left: DataFrame, right: DataFrame, left_order: list[Expr], right_order: list[Expr]) -> DataFrame:
@@ -135,11 +175,15 @@ def zip_ordered(left: DataFrame, right: DataFrame, left_order: list[Expr], right
 
 
 def ranked(df: DataFrame, order: list[Expr], name: str) -> DataFrame:
-    """``df`` with 0-based ranks by ``order``, without a global window."""
+    """``df`` with 0-based ranks by ``order``, without a global window; of equal ranks, all columns decide.
+
+    The sorted rows are written to the shared folder, as both uses must see the same partition numbers.
+    """
     spark = df.sparkSession
     parts = "_part"
-    placed = df.orderBy(*order).withColumns({parts: F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
-    placed = placed.persist()  # the partition numbers of the sort must be the same in both uses
+    ties = [F.xxhash64(*df.columns), *(c for c, t in df.dtypes if not re.search("map<|variant", t))]
+    placed = df.orderBy(*order, *ties).withColumns({parts: F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    placed = Workspace(spark, "ranked").keep(placed, "sorted")
     counts = placed.groupBy(parts).agg(F.count("*").alias("n"))
     # one row per partition: bounded by the number of partitions
     offset = counts.select(parts, (F.sum("n").over(Window.orderBy(parts)) - F.col("n")).alias("_offset"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,14 @@ def flat_map(spark, d):
 @query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity > 45")
 def map_partitions(spark, d):
     df = _t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
-    return transforms.map_partitions(df, lambda rows: (r for r in rows if r.l_quantity is not None and r.l_quantity > 45), df.schema)
+    return transforms.map_batches(df, lambda batches: (b.filter(pc.greater(b.column("l_quantity"), 45.0)) for b in batches))
+
+
+@query("select n_regionkey % 3 as k, n_name from nation where n_nationkey > 4")
+def map_partitions_rows(spark, d):
+    """A closure over named tuples."""
+    df = _t(spark, d, "nation")
+    return transforms.map_partitions(df, lambda rows: ((r.n_regionkey % 3, r.n_name) for r in rows if r.n_nationkey > 4), "k int, n_name string")
 
 
 @query("select * from (values (0, 3::bigint), (1, 7::bigint)) t(partition, total)")
@@ -370,7 +378,5 @@ def parquet_columns(spark, d):
     return files.read_parquet(spark, f"{d}/customer.parquet", "c_custkey", "c_acctbal")
 
 
-@query(None)
-def read_files(spark, d):
-    df = files.read_bytes(spark, files.FileReaderConfig(f"{d}/nation.parquet"))
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.length("content").cast("bigint").alias("n_bytes"))
+# ------------------------------------------------------------------- further catalogues
+from . import queries_io, queries_more  # noqa: E402, F401  (they register their queries)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
+import heapq
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -55,28 +56,80 @@ def _files(spark: SparkSession, config: FileReaderConfig) -> DataFrame:
     return reader.load(config.path)
 
 
-def _spread(spark: SparkSession, config: FileReaderConfig, df: DataFrame) -> DataFrame:
-    """Files are packed by size; with a number of partitions asked for, the packing aims at as many."""
+def _tasks(spark: SparkSession, config: FileReaderConfig) -> int | None:
+    """How many partitions are asked for; None leaves it to Spark, which packs files by size itself."""
     if config.partitions_per_executor is None:
-        return df
+        return None
     try:
         executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
     except Exception:  # not every cluster manager tells
         executors = 1
-    return df.repartition(config.partitions_per_executor * executors)
+    return config.partitions_per_executor * executors
 
 
-def read_bytes(spark: SparkSession, config: FileReaderConfig) -> DataFrame:
-    """(path, modificationTime, length, content), one row per file; FileNotFoundError where no file matches."""
-    df = _files(spark, config)
-    if df.select("path").limit(1).isEmpty():
+#: Schemes that executors can read by themselves.
+_OPENED = {"file", "hdfs", "s3", "s3a", "gs"}
+
+
+def _listed(spark: SparkSession, config: FileReaderConfig) -> DataFrame:
+    """(path, modificationTime, length) of the files; FileNotFoundError where none matches."""
+    df = _files(spark, config).select("path", "modificationTime", "length")
+    if df.limit(1).isEmpty():
         raise FileNotFoundError(f"no files match in {config.path}")
-    return _spread(spark, config, df)
+    return df
+
+
+def _dealt(spark: SparkSession, listed: DataFrame, n: int) -> DataFrame:
+    """The listed files in ``n`` partitions of balanced sizes at most.
+
+    The driver packs names and sizes, which the scan has listed there already; only those are dealt out.
+    """
+    rows = sorted(listed.collect())
+    order: dict[int, list] = {}
+    for r in rows:
+        order.setdefault(r["length"], []).append(r)
+    groups = [[order[size].pop(0) for size in group] for group in packed([r["length"] for r in rows], n)]
+    flat = [(k, *r) for k, group in enumerate(groups) for r in group]
+    dealt = spark.createDataFrame(flat, "_group int, path string, modificationTime timestamp, length long")
+    return dealt.repartitionById(len(groups), F.col("_group")).drop("_group")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for k, path in enumerate(batch.column(0).to_pylist()):
+            scheme, _, rest = path.partition(":")
+            if scheme == "file":
+                system, name = fs.LocalFileSystem(), "/" + unquote(rest).lstrip("/")
+            else:
+                system, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+            with system.open_input_file(name) as f:
+                content = f.read()
+            one = batch.slice(k, 1)
+            yield pa.RecordBatch.from_arrays([*one.columns, pa.array([content], pa.binary())], names=[*one.schema.names, "content"])
+
+
+def read_bytes(spark: SparkSession, config: FileReaderConfig) -> DataFrame:
+    """(path, modificationTime, length, content), one row per file; FileNotFoundError where no file matches.
+
+    With a number of partitions asked for, names are packed by size and dealt out first, and contents are read where
+    they are used, without a shuffle (on other file systems than ``_OPENED``: Spark's own packing, put together).
+    """
+    listed, n = _listed(spark, config), _tasks(spark, config)
+    if n is None:
+        return _files(spark, config)
+    scheme = listed.first()["path"].partition(":")[0]
+    if scheme not in _OPENED:
+        return _files(spark, config).coalesce(n)
+    dealt = _dealt(spark, listed, n)
+    return dealt.mapInArrow(_opened, StructType([*dealt.schema.fields, StructField("content", BinaryType())]))
 
 
 def read_paths(spark: SparkSession, config: FileReaderConfig) -> DataFrame:
     """(path), one row per file; contents are not read."""
-    return read_bytes(spark, config).select("path")
+    listed, n = _listed(spark, config), _tasks(spark, config)
+    return (listed if n is None else _dealt(spark, listed, n)).select("path")
 
 
 def read_source(spark: SparkSession, config: FileReaderConfig, decoder: Callable[[bytes], Iterable] | Column, schema: str | StructType | None = None) -> DataFrame:
@@ -122,11 +175,9 @@ def packed(sizes: list[int], partitions: int) -> list[list[int]]:
     if partitions < 1:
         raise ValueError("partitions must be positive")
     groups: list[list[int]] = [[] for _ in range(min(partitions, max(1, len(sizes))))]
+    heap = [(0, 0, k) for k in range(len(groups))]
     for s in sorted(sizes, reverse=True):
-        min(groups, key=lambda g: (sum(g), len(g))).append(s)
+        total, n, k = heapq.heappop(heap)
+        groups[k].append(s)
+        heapq.heappush(heap, (total + s, n + 1, k))
     return [g for g in groups if g]
-
-
-def split_bytes(total: int, cores: int, most: int = 128 << 20, least: int = 1 << 20) -> int:
-    """A scan's split size: all cores busy, and no split beyond ``most``."""
-    return max(least, min(most, math.ceil(total / max(1, cores))))

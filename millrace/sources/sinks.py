@@ -36,19 +36,23 @@ def for_each_partition(df: DataFrame, f: Callable[[Iterator[Row]], None]) -> Non
 def run_job_with_context(df: DataFrame, f: Callable[[TaskContext, Iterator[Row]], object], partitions: Sequence[int] | None = None) -> list:
     """``f`` of every partition (or of those asked for), in the order of partitions; results come to the driver."""
     names = df.columns
-    asked = None if partitions is None else set(partitions)
     # the partition numbers are those of ``df`` itself, as nothing stands between it and the function
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        if asked is not None and context.partitionId() not in asked:
-            return
         make = Row(*names)
         rows = (make(*r.values()) for b in batches for r in b.to_pylist())
         out = pickle.dumps(f(context, rows))
         yield pa.RecordBatch.from_pydict({"p": pa.array([context.partitionId()], pa.int32()), "out": pa.array([out], pa.binary())})
 
-    got = {r["p"]: pickle.loads(r["out"]) for r in df.mapInArrow(run, "p int, out binary").collect()}
+    out = df.mapInArrow(run, "p int, out binary")
+    if partitions is None:
+        rows = out.collect()
+    else:  # tasks of those partitions only
+        rdd = out.rdd
+        there = sorted({p for p in partitions if 0 <= p < rdd.getNumPartitions()})
+        rows = df.sparkSession.sparkContext.runJob(rdd, list, there) if there else []
+    got = {r["p"]: pickle.loads(r["out"]) for r in rows}
     return [got[p] for p in (sorted(got) if partitions is None else partitions) if p in got]
 
 

@@ -293,3 +293,53 @@ def test_stream(spark, sf, tmp_path):
         assert spark.sql("select sum(n) from live").first()[0] == events.count()
     finally:
         q.stop()
+
+
+# -------------------------------------------------------------------------------- plans
+def test_one_shuffle_for_a_number_or_a_partitioner(spark):
+    pairs = items(spark, [("a", 1), ("b", 2), ("a", 2), ("c", 5), ("a", 3)], kind="k string, v long")
+    for n, p in ((3, None), (300, None), (3, F.ascii("k"))):
+        out = keyed.reduce_by_key(pairs, ["k"], {"v": "sum"}, n, p)
+        assert inspect.shuffles(out) == 1
+        assert dict(map(tuple, out.collect())) == {"a": 6, "b": 2, "c": 5}
+    where = {r.k: r.p for r in keyed.reduce_by_key(pairs, ["k"], {"v": "sum"}, 3, F.ascii("k")).select("k", F.spark_partition_id().alias("p")).collect()}
+    assert where == {k: ord(k) % 3 for k in "abc"}
+    with pytest.raises(ValueError):
+        keyed.group_by_key(pairs, ["k"], "v", partitioner=F.ascii("k"))
+
+
+def test_zip_partitions_is_narrow(spark):
+    left, right = int_range(spark, 1, 1000, 1, 3).toDF("a"), int_range(spark, 1, 600, 1, 3).select(F.col("id").cast("string").alias("b"), F.array("id").alias("c"))
+    out = transforms.zip_partitions(left, right)
+    assert inspect.shuffles(out) == 0 and out.count() == 600
+    assert out.columns == ["a", "b", "c"] and all(r.b == str(r.c[0]) for r in out.take(20))
+    assert transforms.zip_partitions(items(spark, [1], 3), items(spark, ["x", "y"], 3, "s string")).count() <= 1
+
+
+def test_ranks_of_ties(spark):
+    df = items(spark, [(1, k % 3) for k in range(30)], 4, "a int, b int")
+    ranks = sorted(tuple(r) for r in transforms.ranked(df, ["a"], "r").collect())
+    assert sorted(r for *_, r in ranks) == list(range(30))
+    assert ranks == sorted(tuple(r) for r in transforms.ranked(df.repartition(7), ["a"], "r").collect())
+
+
+def test_failed_approximate_count(spark):
+    def broken(batches):
+        import time
+
+        time.sleep(1)
+        raise ValueError("broken on purpose")
+
+    got = approx.count_approx(transforms.map_batches(spark.range(5), broken), 1)
+    assert not got.is_final
+    with pytest.raises(RuntimeError):
+        got.get_final_value()
+    with pytest.raises(ValueError):
+        approx.count_by_value_approx_df(spark.range(1000), most=10)
+
+
+def test_sample_rate_is_enough(spark):
+    df = spark.range(500)
+    for n in (1, 10, 80, 700):
+        assert sampling.take_sample_df(df, True, n, 3).count() == n
+    assert 0.16 < sampling.sample_rate(80, 500) < 0.3

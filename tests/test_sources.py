@@ -80,7 +80,6 @@ def test_packing():
     assert len(files.packed([1, 2, 3, 4], 8)) == 4
     with pytest.raises(ValueError):
         files.packed([1], 0)
-    assert files.split_bytes(10 << 30, 8) == 128 << 20
 
 
 def test_text_sink(spark, tmp_path):
