@@ -3,31 +3,31 @@
 Words are lower-cased runs without white space and ASCII punctuation; only the benchmark's words can count, so
 all others are one blank.
 
-1. One pass counts in how many passages of the corpus (``WINDOW`` words) each benchmark word stands: its idf.
-   Words of more than ``COMMON`` of all passages weigh nothing in the latent space; in steps 3 and 4 they count.
+1. One pass counts in how many passages of the corpus (``WINDOW`` words) each benchmark word stands: its smoothed
+   idf, which is above 0 for all.  In the latent space only words weigh that are among those that make up
+   ``ENERGY`` of some item's squared weight, so an item of nothing but widespread words keeps them.
 2. One pass sketches the Gram matrix of the TF-IDF passages, Y = A'A R with a random R, summed by the cluster
-   in slices of words.  A Nystrom step turns the sketch into the ``EXTRA`` leading right singular vectors; they
-   and the benchmark's own passages, which must be in the range, span the latent space.
-3. One pass slides windows of ``WINDOW`` words by half their length over every whole text, takes each window's
-   cosine with every benchmark passage in the latent space, and checks the pairs of ``COSINE`` or more: the
-   longest common subsequence of the item and the text around the window must have ``COVERAGE`` of the item's
-   words, and of the item's answer (its rarest quarter of words) half must stand there.
-4. The latent space can't see an item whose own words are widespread.  So the same pass also checks every window
-   with half of an item's answer around it, found by the places of the answers' words; no pair that would pass the
-   checks is left out.  Where the latent cosine is below ``COSINE``, the cosine told is that of plain TF-IDF
-   vectors of the item and the text around the window.
+   in slices of words.  A Nystrom step turns the sketch into the corpus's ``EXTRA`` leading right singular vectors with
+   their values; those and the benchmark's passages, stacked with equal weight, are decomposed again, and the
+   ``RANK`` leading vectors are the latent space.
+3. One pass slides windows of ``WINDOW`` words by half their length over every whole text and takes each window's
+   cosine with every benchmark passage in the latent space.  Pairs of ``COSINE`` or more are checked in the text
+   around the window: of the item's answer (its rarest quarter of words) a share of ``ANSWER`` must stand there, and
+   the item's pieces of ``PIECE`` words must be found again.  A piece counts with the heaviest common subsequence
+   (by idf) that stands within ``SPAN`` words; all pieces together must reach ``COVERAGE`` of the item's weight.  So
+   paraphrases are found that replace words or turn the order of phrases around, and function words prove nothing.
 
 The benchmark is the stated query set: its words and passages are held by the driver and sent to the tasks in
-blocks of ``BLOCK`` passages, each with a latent space of its own (step 2 runs once); no size of the corpus enters what is sent.
+blocks of ``BLOCK`` passages, each with a latent space of its own over its own words (step 2 runs once), so what is
+sent grows in proportion to the benchmark and not with the corpus.
 
-Edge cases: null and empty texts match nothing; items with fewer than ``LEAST`` words can't be told from
-ordinary text and never match; equal items match alike; repeated rows are kept and match alike; without items
-or documents nothing matches.  The column ``matches`` is replaced, all others pass through.
+Edge cases: null and empty texts match nothing; an item with fewer than ``LEAST`` words matches where all its words stand
+one after another; equal items match alike; repeated rows are kept and match alike; items without words match
+nothing; without items or documents nothing matches.  The column ``matches`` is replaced, all others pass through.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -44,13 +44,16 @@ WINDOW = 64
 HALF = WINDOW // 2
 BLOCK = 256
 EXTRA, OVER = 32, 16
+RANK = 192
+ENERGY = 0.9
 COSINE = 0.25
-COVERAGE = 0.6
-ANSWER = 0.5
+PIECE, SPAN = 8, 16
+COVERAGE = 0.4
+ANSWER = 0.25
 LEAST = 5
 SLICES = 16
+SPLITS = 64  # so many splits of the scan share a partial matrix
 SEED = 11
-COMMON = 0.05
 #: White space and ASCII punctuation become spaces.
 _SPACED = bytes(i if i >= 128 or chr(i).isalnum() or i == 95 else 32 for i in range(256))
 
@@ -73,17 +76,61 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def heaviest(a: list[int], b: list[int], weight: list[float]) -> float:
+    """Weight of the heaviest common subsequence; ``weight`` is that of the elements of ``a``."""
+    row = [0.0] * (len(a) + 1)
+    for y in b:
+        before = 0.0  # of the row above, one place to the left
+        for i, x in enumerate(a, 1):
+            held = row[i]
+            if x == y and before + weight[i - 1] > held:
+                row[i] = before + weight[i - 1]
+            elif row[i - 1] > held:
+                row[i] = row[i - 1]
+            before = held
+    return row[-1]
+
+
 @dataclass
 class Item:
+    """An item's words (ids), their weights, and its answer."""
+
     item_id: int
     ids: list[int]
     answer: set[int]
+    weights: list[float]
+
+    def __post_init__(self):
+        self.total = sum(self.weights)
+        n = max(1, len(self.ids) // PIECE)
+        cuts = [len(self.ids) * k // n for k in range(n + 1)]
+        self.pieces = [(self.ids[a:b], self.weights[a:b], set(self.ids[a:b])) for a, b in zip(cuts, cuts[1:])]
+
+    def coverage(self, near: list[int]) -> float:
+        """The share of the item's weight that its pieces find again in ``near``, each within ``SPAN`` words."""
+        where: dict[int, list[int]] = {}
+        for i, x in enumerate(near):
+            where.setdefault(x, []).append(i)
+        sums = []
+        for ids, weights, own in self.pieces:
+            at = sorted(i for x in own for i in where.get(x, ()))
+            best, full, end, last = 0.0, sum(weights), 0, -1
+            for k, i in enumerate(at):
+                while end < len(at) and at[end] < i + SPAN:
+                    end += 1
+                if end > last:  # else all of it stood in the stretch before
+                    best = max(best, heaviest(ids, [near[j] for j in at[k:end]], weights))
+                    last = end
+                if best >= full - 1e-9:
+                    break
+            sums.append(best)
+        return sum(sums) / self.total
 
 
 class Tokens:
     """Word ids of a block of texts, 0 for words that no benchmark item has."""
 
-    def __init__(self, texts: list[str], vocabulary: dict[bytes, int], weight: np.ndarray | None = None):
+    def __init__(self, texts: list[str], vocabulary: dict[bytes, int]):
         get = vocabulary.get
         own = [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)) for w in map(words, texts)]
         self.start = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
@@ -93,15 +140,21 @@ class Tokens:
         first = np.concatenate([[0], np.cumsum(halves)])[:-1]
         self.doc = np.repeat(np.arange(len(own)), halves)
         self.at = self.start[self.doc] + (np.arange(len(self.doc)) - first[self.doc]) * HALF  # where each half window begins
-        self.known = np.flatnonzero(self.ids if weight is None else weight[self.ids])  # places of words that weigh something
-        self.cut = np.searchsorted(self.known, self.at)
 
-    def halves(self, values: np.ndarray) -> np.ndarray:
+    def known(self, local: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(places of words, their ids), of words that ``local`` has an id for."""
+        ids = self.ids if local is None else local[self.ids]
+        at = np.flatnonzero(ids)
+        return at, ids[at]
+
+    def halves(self, values: np.ndarray, local: np.ndarray | None = None) -> np.ndarray:
         """The sum of the words' rows of ``values`` over each half window."""
         out = np.zeros((len(self.at), values.shape[1]), np.float32)
-        full = np.flatnonzero(np.diff(np.append(self.cut, len(self.known))))
+        known, ids = self.known(local)
+        cut = np.searchsorted(known, self.at)
+        full = np.flatnonzero(np.diff(np.append(cut, len(known))))
         if len(full):
-            out[full] = np.add.reduceat(values[self.ids[self.known]], self.cut[full], 0)
+            out[full] = np.add.reduceat(values[ids], cut[full], 0)
         return out
 
 
@@ -121,9 +174,10 @@ def passage_counts(docs: DataFrame, text: str, vocabulary: dict[bytes, int]) ->
         for _, texts in _blocks(batches, 0):
             t = Tokens(texts, own)
             whole = np.concatenate([[0], np.cumsum(-(-np.diff(t.start) // WINDOW))])
-            doc = np.searchsorted(t.start, t.known, "right") - 1
-            passage = whole[doc] + (t.known - t.start[doc]) // WINDOW
-            pairs = np.unique(passage * (len(own) + 1) + t.ids[t.known])
+            known, ids = t.known()
+            doc = np.searchsorted(t.start, known, "right") - 1
+            passage = whole[doc] + (known - t.start[doc]) // WINDOW
+            pairs = np.unique(passage * (len(own) + 1) + ids)
             counts += np.bincount(pairs % (len(own) + 1), minlength=len(counts))
             counts[0] += whole[-1]
         seen = np.flatnonzero(counts)
@@ -135,17 +189,17 @@ def passage_counts(docs: DataFrame, text: str, vocabulary: dict[bytes, int]) ->
     return out, int(out[0])
 
 
-def _gram(own: Tokens, weighted: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+def _gram(own: Tokens, local: np.ndarray, weighted: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
     """Add A'A R of the block's passages (two half windows each) to ``out``; ``weighted`` is R times idf."""
-    if not len(own.known):
+    known, ids = own.known(local)
+    if not len(known):
         return
-    half = own.halves(weighted)
+    half = own.halves(weighted, local)
     pair = (own.at - own.start[own.doc]) // HALF // 2  # the passage of a half window within its text
     new = np.concatenate([[True], (own.doc[1:] != own.doc[:-1]) | (pair[1:] != pair[:-1])])
     passage = np.cumsum(new) - 1
     z = np.add.reduceat(half, np.flatnonzero(new), 0)
-    of = passage[np.searchsorted(own.at, own.known, "right") - 1]
-    ids = own.ids[own.known]
+    of = passage[np.searchsorted(own.at, known, "right") - 1]
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
@@ -161,9 +215,10 @@ def sketch(docs: DataFrame, text: str, vocabulary: dict[bytes, int], idf: np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weight = shared.value
         weighted = test_matrix(len(weight), rank) * weight[:, None]
+        local = np.where(weight > 0, np.arange(len(weight)), 0)
         out = np.zeros((len(weight), rank), np.float32)
         for _, texts in _blocks(batches, 0):
-            _gram(Tokens(texts, own, weight), weighted, weight, out)
+            _gram(Tokens(texts, own), local, weighted, weight, out)
         yield pa.RecordBatch.from_pydict(
             {"slice": pa.array(range(SLICES), pa.int32()), "part": pa.array([out[k * step : (k + 1) * step].tobytes() for k in range(SLICES)], pa.binary())}
         )
@@ -177,9 +232,11 @@ def sketch(docs: DataFrame, text: str, vocabulary: dict[bytes, int], idf: np.nda
         if total:
             yield pa.RecordBatch.from_pydict({"slice": pa.array(list(total), pa.int32()), "part": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
-    # one partial matrix per task: as many tasks as can run at once, not one per file split
-    tasks = docs.select(text).coalesce(max(2, spark.sparkContext.defaultParallelism))
-    rows = tasks.mapInArrow(run, "slice int, part binary").repartition(SLICES, "slice").mapInArrow(added, "slice int, part binary").collect()
+    # one partial matrix per task: some splits share it, so that matrices stay few and a lost task repeats little
+    own = docs.select(text)
+    splits = own.rdd.getNumPartitions()
+    own = own.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-splits // SPLITS)))
+    rows = own.mapInArrow(run, "slice int, part binary").repartition(SLICES, "slice").mapInArrow(added, "slice int, part binary").collect()
     out = np.zeros((len(idf), rank))
     for r in rows:
         part = np.frombuffer(r["part"], np.float64).reshape(-1, rank)
@@ -192,7 +249,7 @@ def test_matrix(n: int, rank: int) -> np.ndarray:
 
 
 def latent(y: np.ndarray, test: np.ndarray) -> np.ndarray:
-    """Leading eigenvectors of the Gram matrix whose sketch is ``y`` = G test (Nystrom, with a small shift)."""
+    """Leading right singular vectors, times their values, of the A whose A'A has the sketch ``y`` = A'A test (Nystrom)."""
     y, test = y.astype(np.float64), test.astype(np.float64)
     shift = 1e-7 * max(1e-12, float(np.linalg.norm(y)))
     y = y + shift * test
@@ -200,72 +257,46 @@ def latent(y: np.ndarray, test: np.ndarray) -> np.ndarray:
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > max(values.max(), 0) * 1e-9
     root = y @ (vectors[:, keep] / np.sqrt(values[keep]))
-    return np.linalg.svd(root, full_matrices=False)[0]
+    u, values, _ = np.linalg.svd(root, full_matrices=False)
+    return u * values
 
 
-def spanned(*columns: np.ndarray) -> np.ndarray:
-    """An orthonormal basis of all columns together."""
-    u, values, _ = np.linalg.svd(np.hstack(columns), full_matrices=False)
-    return u[:, values > 1e-6 * max(1e-12, float(values.max()))]
+def stacked(*parts: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """The leading left singular vectors of columns side by side, the parts scaled to equal total weight."""
+    scaled = [x / norm for x in parts if (norm := float(np.linalg.norm(x))) > 1e-12]
+    if not scaled:
+        return np.zeros((len(parts[0]), 1))
+    u, values, _ = np.linalg.svd(np.hstack(scaled), full_matrices=False)
+    return u[:, :rank][:, values[:rank] > 1e-6 * float(values.max())]
 
 
 # ----------------------------------------------------------------------------- search
 @dataclass
 class Query:
-    """A block of benchmark passages: ``space`` is idf times the latent vectors, ``passages`` have length 1 in it."""
+    """A block of benchmark passages: ``space`` is idf times the latent vectors of the block's words, ``passages`` have length 1 in it."""
 
-    vocabulary: dict[bytes, int]
-    idf: np.ndarray
+    words: np.ndarray  # ids of the words that weigh something here
     space: np.ndarray
     passages: np.ndarray
     item_of: list[int]
     items: list[Item]
-    smooth: np.ndarray  # an idf above 0 for every word
+    n_words: int
 
     def __post_init__(self):
         self.sizes = np.array([len(x.ids) for x in self.items], np.int64)
-        self.member = np.zeros((len(self.items), len(self.idf)), bool)  # the words of each item
-        for row, x in zip(self.member, self.items, strict=True):
-            row[x.ids] = True
-        pairs = sorted((x, k) for k, own in enumerate(self.items) for x in own.answer)
-        self.asker = np.array([k for _, k in pairs], np.int64)  # the items with a word in their answer, word by word
-        self.askers = np.bincount(np.array([x for x, _ in pairs], np.int64), minlength=len(self.idf))
-        self.first_asker = np.cumsum(self.askers) - self.askers
-        self.least_answer = np.array([math.ceil(ANSWER * len(x.answer)) for x in self.items], np.int64)
-
-    def answered(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """All (half window, item) where half of the item's answer may stand around the window."""
-        at = np.flatnonzero(self.askers[t.ids])
-        n = self.askers[t.ids[at]]
-        item = self.asker[np.repeat(self.first_asker[t.ids[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        at = np.repeat(at, n)
-        doc = np.searchsorted(t.start, at, "right") - 1
-        order = np.lexsort((at, item))
-        at, item, doc = at[order], item[order], doc[order]
-        to = np.arange(len(at)) + self.least_answer[item] - 1  # as many of the answer's words from here on
-        run = np.flatnonzero(to < len(at))
-        run = run[(item[to[run]] == item[run]) & (doc[to[run]] == doc[run])]
-        size, begin = self.sizes[item[run]], t.start[doc[run]]
-        low = np.maximum(0, -((begin + WINDOW + size - at[to[run]] - 1) // HALF))
-        halves = -(-(t.start[doc[run] + 1] - begin) // HALF)
-        high = np.minimum(halves - 1, (at[run] - begin + size) // HALF)
-        n = np.maximum(0, high - low + 1)
-        own = np.repeat(np.searchsorted(t.doc, doc[run]) + low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pairs = np.unique(own * len(self.items) + np.repeat(item[run], n))
-        return pairs // len(self.items), pairs % len(self.items)
-
-    def plain(self, own: list[int], near: np.ndarray) -> float:
-        """The cosine of an item and a text by their words alone."""
-        a, b = (np.bincount(x, minlength=len(self.smooth)) * self.smooth for x in (own, near))
-        return float(a @ b / max(1e-9, np.linalg.norm(a) * np.linalg.norm(b)))
+        self.local = np.zeros(self.n_words, np.int32)
+        self.local[self.words] = np.arange(1, len(self.words) + 1)
 
-    def matches(self, texts: list[str]) -> list[list[tuple[int, float, float]]]:
-        """Per text (item id, cosine, coverage) of each item that it holds, best window only."""
-        out: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
-        t = Tokens(texts, self.vocabulary, self.idf)
-        if not len(t.ids) or not self.items:
-            return [[] for _ in texts]
-        half = t.halves(self.space)
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("sizes", "local")}
+
+    def __setstate__(self, state: dict):
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def candidates(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, place in ``items``, cosine) of all pairs of ``COSINE`` or more; a window begins at a half window."""
+        half = t.halves(self.space, self.local)
         x = half.copy()
         x[:-1][t.doc[1:] == t.doc[:-1]] += half[1:][t.doc[1:] == t.doc[:-1]]
         # the last half of a text with several is the second half of the window before
@@ -274,67 +305,98 @@ class Query:
         ok = np.flatnonzero((norm > 1e-6) & ~last)
         cos = (x[ok] @ self.passages.T) / norm[ok, None]
         w, p = np.nonzero(cos >= COSINE)
-        w, cos, item = ok[w], cos[w, p], np.array(self.item_of, np.int64)[p]
-        also, asked = self.answered(t)
-        new = ~last[also] & ~np.isin(also * len(self.items) + asked, w * len(self.items) + item)
-        w, item, cos = np.append(w, also[new]), np.append(item, asked[new]), np.append(cos, np.full(new.sum(), np.nan))
+        return ok[w], np.array(self.item_of, np.int64)[p], cos[w, p]
+
+    def matches(self, t: Tokens, out: list[dict[int, tuple[float, float]]]) -> None:
+        """Adds (cosine, coverage) of each item that a text holds to its map, best window only."""
+        w, item, cos = self.candidates(t)
         size = self.sizes[item]
         begin = np.maximum(t.start[t.doc[w]], t.at[w] - size).tolist()
         end = np.minimum(t.start[t.doc[w] + 1], t.at[w] + WINDOW + size).tolist()
-        least = np.ceil(COVERAGE * size - 1e-9).astype(np.int64).tolist()
-        for k, a, b, need, doc, c in zip(item.tolist(), begin, end, least, t.doc[w].tolist(), cos.tolist(), strict=True):
-            near, own = t.ids[a:b], self.items[k]
-            near = near[self.member[k][near]]
-            if len(near) < need:  # the common subsequence can't be longer
+        seen, there = (-1, -1), set()
+        for k, a, b, doc, c in zip(item.tolist(), begin, end, t.doc[w].tolist(), cos.tolist(), strict=True):
+            own = self.items[k]
+            if (a, b) != seen:
+                near = t.ids[a:b].tolist()
+                seen, there = (a, b), set(near)
+            if len(own.answer & there) < ANSWER * len(own.answer):
                 continue
-            near = near.tolist()
-            if len(own.answer.intersection(near)) < ANSWER * len(own.answer):
+            if sum(v for x, v in zip(own.ids, own.weights, strict=True) if x in there) < (COVERAGE - 1e-9) * own.total:
                 continue
-            share = lcs(own.ids, near) / len(own.ids)
+            share = own.coverage(near)
             if share >= COVERAGE - 1e-9 and share > out[doc].get(own.item_id, (0.0, 0.0))[1]:
-                if math.isnan(c):
-                    c = self.plain(own.ids, t.ids[a:b])
-                out[doc][own.item_id] = (c, share)
+                out[doc][own.item_id] = (min(1.0, c), min(1.0, share))
+
+
+@dataclass
+class Asked:
+    """The whole benchmark: blocks of passages, and the items too short for them."""
+
+    vocabulary: dict[bytes, int]
+    blocks: list[Query]
+    short: list[tuple[int, list[int]]]
+
+    def matches(self, texts: list[str]) -> list[list[tuple[int, float, float]]]:
+        """Per text (item id, cosine, coverage) of each item that it holds."""
+        out: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
+        t = Tokens(texts, self.vocabulary)
+        if len(t.ids):
+            for q in self.blocks:
+                q.matches(t, out)
+            for i, ids in self.short:
+                at = np.flatnonzero(t.ids[: len(t.ids) - len(ids) + 1] == ids[0])
+                for k, x in enumerate(ids[1:], 1):
+                    at = at[t.ids[at + k] == x]
+                doc = np.searchsorted(t.start, at, "right") - 1
+                for d in doc[t.start[doc + 1] >= at + len(ids)].tolist():
+                    out[d][i] = (1.0, 1.0)
         return [[(k, c, s) for k, (c, s) in sorted(own.items())] for own in out]
 
 
-def queries_of(docs: DataFrame, bench: DataFrame, text: str, item: str, item_text: str, block: int) -> list[Query]:
+def queries_of(docs: DataFrame, bench: DataFrame, text: str, item: str, item_text: str, block: int) -> Asked:
     rows = bench.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("long"), F.col(item_text)).toArrow()
     listed = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
-    tokens = [(i, w) for i, t in listed if len(w := words(t)) >= LEAST]
-    if not tokens:
-        return []
+    tokens = [(i, w) for i, t in listed if (w := words(t))]
     vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, own in tokens for w in own}))}
+    coded = [(i, [vocabulary[w] for w in own]) for i, own in tokens]
+    asked = Asked(vocabulary, [], [(i, ids) for i, ids in coded if len(ids) < LEAST])
+    coded = [(i, ids) for i, ids in coded if len(ids) >= LEAST]
+    if not coded:
+        return asked
     counts, passages = passage_counts(docs, text, vocabulary)
-    idf = np.log((passages + 1) / (counts + 1)).clip(0).astype(np.float32)
-    idf[counts > COMMON * passages] = 0
+    idf = np.log1p((passages + 1) / (counts + 1))
     idf[0] = 0
-    smooth = np.log1p((passages + 1) / (counts + 1))
-    smooth[0] = 0
+    heavy = np.zeros(len(idf), bool)
     items, pieces = [], []
-    for i, own in tokens:
-        ids = [vocabulary[w] for w in own]
+    for i, ids in coded:
+        own, n = np.unique(ids, return_counts=True)
+        energy = (idf[own] * n) ** 2
+        order = np.argsort(-energy, kind="stable")
+        heavy[own[order[: 1 + int(np.searchsorted(np.cumsum(energy[order]), ENERGY * energy.sum()))]]] = True
         rare = sorted(set(ids), key=lambda x: (counts[x], x))
-        items.append(Item(i, ids, set(rare[: max(2, math.ceil(len(rare) / 4))])))
+        items.append(Item(i, ids, set(rare[: max(2, -(-len(rare) // 4))]), idf[ids].tolist()))
         parts = -(-len(ids) // WINDOW)
         for k in range(parts):
             pieces.append((len(items) - 1, ids[len(ids) * k // parts : len(ids) * (k + 1) // parts]))
-    out, leading = [], None
+    weight = np.where(heavy, idf, 0).astype(np.float32)
+    rank = min(len(idf), EXTRA + OVER)
+    leading = latent(sketch(docs, text, vocabulary, weight, rank), test_matrix(len(idf), rank))[:, :EXTRA]
     for lo in range(0, len(pieces), block):
         own = pieces[lo : lo + block]
-        rank = min(len(idf), EXTRA + OVER)
-        a = np.zeros((len(own), len(idf)))
+        mine = np.unique([x for _, ids in own for x in ids])
+        mine = mine[weight[mine] > 0]
+        a = np.zeros((len(own), len(idf)), np.float32)
         for k, (_, ids) in enumerate(own):
-            np.add.at(a[k], ids, idf[ids])
+            np.add.at(a[k], ids, weight[ids])
+        a = a[:, mine]
         a /= np.maximum(1e-9, np.linalg.norm(a, axis=1, keepdims=True))
-        if leading is None:
-            leading = latent(sketch(docs, text, vocabulary, idf, rank), test_matrix(len(idf), rank))[:, :EXTRA]
-        space = (spanned(a.T, leading) * idf[:, None]).astype(np.float32)
-        known = [space[ids].sum(0) for _, ids in own]
-        passages_ = np.array([v / max(1e-9, float(np.linalg.norm(v))) for v in known], np.float32)
+        basis = stacked(leading[mine], a.T.astype(np.float64))
+        vectors = a @ basis
+        vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
+        space = np.vstack([np.zeros((1, basis.shape[1])), basis * weight[mine, None]]).astype(np.float32)
         used = sorted({k for k, _ in own})
-        out.append(Query(vocabulary, idf, space, passages_, [used.index(k) for k, _ in own], [items[k] for k in used], smooth))
-    return out
+        asked.blocks.append(Query(mine, space, vectors.astype(np.float32), [used.index(k) for k, _ in own], [items[k] for k in used], len(idf)))
+    return asked
 
 
 MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("coverage", T.DoubleType())])
@@ -355,13 +417,8 @@ def find(
         for batch in batches:
             found: list[list[dict]] = []
             for _, texts in common.blocks(batch.column(at).to_pylist(), 1 << 18):
-                rows: list[dict[int, dict]] = [{} for _ in texts]
-                for q in shared.value:
-                    for row, got in zip(rows, q.matches(texts), strict=True):
-                        for i, c, s in got:
-                            if i not in row or s > row[i]["coverage"]:
-                                row[i] = {"item_id": i, "cosine": c, "coverage": s}
-                found += [[row[i] for i in sorted(row)] for row in rows]
+                for own in shared.value.matches(texts):
+                    found.append([{"item_id": i, "cosine": c, "coverage": s} for i, c, s in own])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=schema.names)
 
     return own.mapInArrow(run, schema)

@@ -18,7 +18,9 @@ replaced (and ``text`` by redaction), all others pass through, whatever their na
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,79 +124,74 @@ def features(before: Column, c: Column, after: Column, known: tuple[str, ...]) -
 # --------------------------------------------------------------------------- training
 def labelled_findings(spark: SparkSession, n: int = FINDINGS, known: tuple[str, ...] = (), first: int = 0) -> DataFrame:
     """``n`` labelled findings by rule, the same each time for the same dictionary; ``first`` begins another series."""
-    # a lambda's variable: interpreted, where the generated code of so many cases would outgrow a method
-    rows = spark.range(first, first + n, 1, 2).select(F.transform(F.array("id"), lambda i: _finding(i, known)).alias("all"))
-    return rows.select(F.inline("all"))
-
-
-def _finding(i: Column, known: tuple[str, ...]) -> Column:
-    listed = [x for x in (known or tuple(WORDS.split("|"))) if len(x) > 3 and not re.search(f"{KEY_WORDS}|{HASH_WORDS}", x)]
-    listed = listed[:: max(1, len(listed) // 400)]
-    strings = lambda options: F.split(F.lit("\x1f".join(options)), "\x1f") if all(isinstance(x, str) for x in options) else F.array(*(x if isinstance(x, Column) else F.lit(x) for x in options))
-    pick = lambda salt, *options: F.element_at(strings(options), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
-    raw = F.concat(*(F.sha2(F.concat_ws("-", i.cast("string"), F.lit(k)), 256) for k in "ab"))
-    base = F.regexp_replace(F.base64(F.unhex(raw)), "[\\r\\n=]", "")
-    sized = lambda c, *sizes: F.substring(c, F.lit(1), pick(11, *sizes).cast("int"))
-    alnum = F.regexp_replace(base, "[+/]", "")
-    digits = F.translate(raw, "abcdef", "135790")
-    word = lambda salt: pick(salt, *listed)
-    syllable = lambda salt: F.concat(pick(salt, *"bcdfglmnprstv", "ch", "st", "br"), pick(salt + 500, *"aeiou", "ou", "ea"), pick(salt + 900, "", "n", "r", "s", "l", "m"))
-    prose = F.concat(syllable(1), syllable(2), syllable(3), syllable(4), syllable(5), syllable(15), pick(16, "", syllable(17)), pick(18, "", syllable(19)))
-    glued = F.concat(word(1), pick(70, "", "-", "_"), word(2), pick(70, "", "-", "_"), word(3), pick(71, "", word(4)))
-    camel = F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4)), pick(31, "", "2", "V3"))
+    words = [x for x in (known or tuple(WORDS.split("|"))) if len(x) > 3 and not re.search(f"{KEY_WORDS}|{HASH_WORDS}", x)]
+    rows = [_finding(i, words) for i in range(first, first + n)]
+    return spark.createDataFrame(rows, "before string, candidate string, after string, label double")
+
+
+def _finding(i: int, words: list[str]) -> tuple[str, str, str, float]:
+    """The i-th finding: the cases take turns, the rest is drawn."""
+    rng = random.Random(i)
+    pick = lambda *options: rng.choice(options)
+    some = lambda alphabet, *sizes: "".join(rng.choices(alphabet, k=rng.choice(sizes)))
+    letters, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
+    word = lambda: rng.choice(words)
+    syllable = lambda: pick(*"bcdfglmnprstv", "ch", "st", "br") + pick(*"aeiou", "ou", "ea") + pick("", "n", "r", "s", "l", "m")
+    neutral = word() + " " + word() + pick(" ", ". ", ", ", " ", "\n")
+    follows = pick(" ", ", ", ". ", " ") + word() + " " + word()
+    key = pick("password", "token", "secret", "api_key", "apikey", "access_key", "auth_token", "pwd", "client_secret", "Password", "TOKEN", "SECRET_KEY")
+    long_key = pick("AWS_SECRET_ACCESS_KEY", "github_access_token", "DATABASE_PASSWORD", "production-api-key", "oauth2_client_secret", "SLACK_BOT_TOKEN_SECRET", "admin_user_password")
+    ops = pick("=", ' = "', ": ", ':"', "='", ' = "', "=")
+    quote = ops[-1] if ops[-1] in "\"'" else ""
+    tail = quote + pick("", ",", "\n", " ", ";") if quote else pick("\n", " ", ", ", ";", follows)
+    sign = pick(": ", ": ", " = ", "=")
+    said = pick("the ", "my ", "a ", "this ") + pick("token", "password", "secret", "api key", "access token", "auth token") + pick(" ", " is ", ": ", " was ")
+    password = pick("Tr0ub", "hunt3r", "S3cr", "p4ss", "w1nt", "L0nd", "dr4g", word().capitalize()) + pick("4dor", "er", "on", "et", "ka", "_", "99") + pick("&3", "!", "2x1", "#7", "$", "99")
+    drawn = pick("", "", "Tr", "pa", "Zq") + some(letters, 6, 8, 9, 10, 12, 14) + pick("", "!", "&3", "#", "@9x") + pick("", "", "7", "K2")
+    base = some(letters + "+/", 20, 28, 32, 40, 44, 64)
+    prose = "".join(syllable() for _ in range(rng.randint(6, 9)))
+    gap = pick("", "-", "_")
+    glued = gap.join(word() for _ in range(rng.randint(3, 4)))
+    camel = word() + "".join(word().capitalize() for _ in range(3)) + pick("", "2", "V3")
     names = ("user", "token", "value", "default", "config", "session", "account", "client", "service", "request", "access", "password", "handler", "example")
-    ident = F.concat(*(x for k in range(4) for x in (pick(20 + k, *names), pick(30, "_", "_", "-")))).substr(F.lit(1), F.lit(60))
-    ident = F.regexp_replace(F.concat(ident, pick(31, "", "2", "v3", "01")), "[_-]$", "")
-    key = pick(41, "password", "token", "secret", "api_key", "apikey", "access_key", "auth_token", "pwd", "client_secret", "Password", "TOKEN", "SECRET_KEY")
-    ops = pick(42, "=", ' = "', ": ", ':"', "='", ' = "', "=")
-    long_key = pick(54, "AWS_SECRET_ACCESS_KEY", "github_access_token", "DATABASE_PASSWORD", "production-api-key", "oauth2_client_secret", "SLACK_BOT_TOKEN_SECRET", "admin_user_password")
-    said = F.concat(pick(72, "the ", "my ", "a ", "this "), pick(73, "token", "password", "secret", "api key", "access token", "auth token"), pick(74, " ", " is ", ": ", " was "))
-    follows = F.concat(pick(75, " ", ", ", ". ", " "), word(12), F.lit(" "), word(13))
-    tail = F.when(F.right(ops, F.lit(1)).isin('"', "'"), F.concat(F.right(ops, F.lit(1)), pick(43, "", ",", "\n", " ", ";"))).otherwise(pick(43, "\n", " ", ", ", ";", follows))
-    neutral = F.concat(word(6), F.lit(" "), word(7), pick(44, " ", ". ", ", ", " ", "\n"))
-    hashed = pick(45, "commit ", "sha256:", "md5=", "checksum: ", "digest=", "etag: ", "revision ", "build=", 'hash = "')
-    mixed = F.concat(pick(60, "Tr0ub", "hunt3r", "S3cr", "p4ss", "w1nt", "L0nd", "dr4g", F.initcap(word(20))), pick(61, "4dor", "er", "on", "et", "ka", "_", "99"), pick(62, "&3", "!", "2x1", "#7", "$", "99"))
-    random = F.concat(pick(56, "", "", "Tr", "pa", "Zq"), sized(alnum, 6, 8, 9, 10, 12, 14), pick(57, "", "!", "&3", "#", "@9x"), pick(58, "", "", "7", "K2"))
-    assigned, uuid = F.concat(neutral, key, ops), F.concat_ws("-", *(F.substring(raw, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    ident = pick("_", "_", "-").join(rng.choices(names, k=4)) + pick("", "_2", "_v3", "01")
+    fixed = "required optional undefined invalid string String, None,None <your-password> ${PASSWORD} {{password}} os.environ process.env.TOKEN changeme xxxxxxxx ******** getpass() self.token get_token(user) password example placeholder config.get(key) $DB_PASSWORD %(password)s Optional[str]"
+    dummies = "xxxxxxxxxxxxxxxxxxxx your_api_key_goes_here 1234567890123456 0000000000000000 changeme_changeme AAAAAAAAAAAAAAAAAAAAAAAA example_token_value1"
+    url = pick("postgres://", "https://", "mysql://", "amqp://", "redis://", "mongodb+srv://") + pick("admin", "root", "user", "app", word()) + ":"
+    hashed = pick("commit ", "sha256:", "md5=", "checksum: ", "digest=", "etag: ", "revision ", "build=", 'hash = "')
+    assigned = neutral + key + ops
     cases = [  # (before, candidate, after, label)
-        (assigned, sized(raw, 16, 18, 20, 24, 32, 40, 40, 64), tail, 1),
-        (assigned, F.upper(sized(raw, 16, 18, 20, 32, 40)), tail, 1),
-        (assigned, sized(alnum, 16, 20, 24, 32, 40, 48), tail, 1),
-        (assigned, sized(base, 20, 28, 32, 40, 44, 64), tail, 1),
-        (F.concat(neutral, long_key, ops), sized(F.when(F.pmod(F.floor(i / 7), F.lit(2)) == 0, base).otherwise(raw), 20, 32, 32, 40, 40, 64), tail, 1),
-        (assigned, random, tail, 1),
-        (assigned, F.concat(word(9), pick(59, "1", "x1", "42", "2024", "7z", "&3", "!9", "$5e")), tail, 1),
-        (assigned, mixed, tail, 1),
-        (F.concat(neutral, said), sized(F.when(F.pmod(F.floor(i / 7), F.lit(2)) == 0, alnum).otherwise(raw), 20, 32, 40, 40, 64), follows, 1),
-        (F.concat(neutral, pick(76, "Authorization: Bearer ", "authorization: bearer ", "Authorization: token ", "Authorization: Basic ")), sized(base, 24, 32, 40, 64), tail, 1),
-        (F.concat(neutral, pick(77, "postgres://", "https://", "mysql://", "amqp://", "redis://", "mongodb+srv://"), pick(78, "admin", "root", "user", "app", word(14)), F.lit(":")), F.when(F.pmod(F.floor(i / 7), F.lit(2)) == 0, mixed).otherwise(random), F.concat(F.lit("@"), word(15), F.lit(".example/db")), 1),
-        (neutral, F.concat(pick(46, "AKIA", "ASIA"), F.upper(F.substring(alnum, 1, 16))), follows, 1),
-        (neutral, F.concat(pick(47, "ghp_", "gho_", "sk_live_", "glpat-", "xoxb-", "npm_", "AIza", "hf_", "eyJ"), F.substring(alnum, 1, 36)), follows, 1),
-        (assigned, pick(63, "required", "optional", "undefined", "invalid", "string", "String,", "None,None", "<your-password>", "${PASSWORD}", "{{password}}", "os.environ", "process.env.TOKEN", "changeme", "xxxxxxxx", "********", "getpass()", "self.token", "get_token(user)", "password", "example", "placeholder", "config.get(key)", "$DB_PASSWORD", "%(password)s", "Optional[str]"), tail, 0),
-        (F.concat(neutral, key, pick(64, ": ", ": ", " = ", "=")), F.concat(word(10), pick(65, "", "", ".", word(11))), follows, 0),
-        (F.concat(neutral, key, pick(64, " = ", "=", ": ")), F.concat(word(10), pick(66, ".", "_", "::"), word(11), pick(67, "", "()", "[0]", "(x1)", ".v2")), pick(68, "\n", "(", "[", ".get(", ")", ";"), 0),
-        (neutral, F.concat(long_key, pick(55, "", "_2", "_V1", "01")), pick(69, "=", ": ", " = "), 0),
-        (neutral, F.substring(digits, 1, 16), follows, 0),
-        (F.concat(neutral, pick(48, "card ", "order ", "isbn ", "invoice: ", "")), sized(digits, 16, 17, 18, 20, 24), tail, 0),
-        (F.concat(neutral, hashed), sized(raw, 32, 40, 40, 64), tail, 0),
-        (neutral, sized(raw, 16, 32, 40, 64), follows, 0),
-        (F.concat(neutral, pick(49, "id=", "uuid: ", "request ", "guid ", "session ")), uuid, tail, 0),
+        (assigned, some(hexes, 16, 18, 20, 24, 32, 40, 40, 64), tail, 1),
+        (assigned, some(hexes, 16, 18, 20, 32, 40).upper(), tail, 1),
+        (assigned, some(letters, 16, 20, 24, 32, 40, 48), tail, 1),
+        (assigned, base, tail, 1),
+        (neutral + long_key + ops, pick(base, some(hexes, 20, 32, 40, 64)), tail, 1),
+        (assigned, drawn, tail, 1),
+        (assigned, word() + pick("1", "x1", "42", "2024", "7z", "&3", "!9", "$5e"), tail, 1),
+        (assigned, password, tail, 1),
+        (neutral + said, pick(some(letters, 20, 32, 40), some(hexes, 20, 32, 40, 40, 64)), follows, 1),
+        (neutral + pick("Authorization: Bearer ", "authorization: bearer ", "Authorization: token ", "Authorization: Basic "), base, tail, 1),
+        (neutral + url, pick(password, drawn).replace("@", "#"), "@" + word() + ".example/db", 1),
+        (neutral, pick("AKIA", "ASIA") + some(string.ascii_uppercase + string.digits, 16), follows, 1),
+        (neutral, pick("ghp_", "gho_", "sk_live_", "glpat-", "xoxb-", "npm_", "AIza", "hf_", "eyJ") + some(letters, 20, 36), follows, 1),
+        (assigned, rng.choice(fixed.split(" ")), tail, 0),
+        (neutral + key + sign, word() + pick("", "", "." + word()), follows, 0),
+        (neutral + key + sign, word() + pick(".", "_", "::") + word() + pick("", "()", "[0]", "(x1)", ".v2"), pick("\n", "(", "[", ".get(", ")", ";"), 0),
+        (neutral, long_key + pick("", "_2", "_V1", "01"), pick("=", ": ", " = "), 0),
+        (neutral, some(string.digits, 16), follows, 0),
+        (neutral + pick("card ", "order ", "isbn ", "invoice: ", ""), some(string.digits, 16, 17, 18, 20, 24), tail, 0),
+        (neutral + hashed, some(hexes, 32, 40, 40, 64), tail, 0),
+        (neutral, some(hexes, 16, 32, 40, 64), follows, 0),
+        (neutral + pick("id=", "uuid: ", "request ", "guid ", "session "), "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12)), tail, 0),
         (assigned, ident, tail, 0),
-        (assigned, pick(50, "xxxxxxxxxxxxxxxxxxxx", "your_api_key_goes_here", "1234567890123456", "0000000000000000", "changeme_changeme", "AAAAAAAAAAAAAAAAAAAAAAAA", "example_token_value1"), tail, 0),
-        (F.concat(neutral, pick(79, "", key, "class ", "def ")), F.when(F.pmod(F.floor(i / 7), F.lit(2)) == 0, glued).otherwise(camel), pick(80, "(", " ", ".", "\n", follows), 0),
+        (assigned, rng.choice(dummies.split(" ")), tail, 0),
+        (neutral + pick("", key + " ", "class ", "def "), pick(glued, camel), pick("(", " ", ".", "\n", follows), 0),
         (neutral, prose, follows, 0),
-        (neutral, F.upper(prose), follows, 0),
-        (F.concat(neutral, pick(51, "/", "./", "http://", "src/", "")), F.concat_ws("/", pick(52, "usr", "home", "src", "var"), word(8), pick(53, "lib", "data", "python3", "v2"), glued), tail, 0),
+        (neutral, prose.upper(), follows, 0),
+        (neutral + pick("/", "./", "http://", "src/", ""), "/".join((pick("usr", "home", "src", "var"), word(), pick("lib", "data", "python3", "v2"), glued)), tail, 0),
     ]
-    kind = F.pmod(i, F.lit(len(cases)))
-
-    def chosen(at: int) -> Column:
-        out = F.lit(None)
-        for k, case in enumerate(cases):
-            out = F.when(kind == k, case[at] if isinstance(case[at], Column) else F.lit(case[at])).otherwise(out)
-        return out
-
-    return F.struct(*(chosen(k).alias(name) for k, name in enumerate(("before", "candidate", "after"))), chosen(3).cast("double").alias("label"))
+    before, candidate, after, label = cases[i % len(cases)]
+    return before, candidate, after, float(label)
 
 
 def _tree(lines: list[str]) -> str:
