@@ -14,8 +14,9 @@ all others are one blank.
    cosine with every benchmark passage in the latent space.  Pairs of ``COSINE`` or more are checked in the text
    around the window: of the item's answer (its rarest quarter of words) a share of ``ANSWER`` must stand there, and
    the item's pieces of ``PIECE`` words must be found again.  A piece counts with the heaviest common subsequence
-   (by idf) that stands within ``SPAN`` words; all pieces together must reach ``COVERAGE`` of the item's weight.  So
-   paraphrases are found that replace words or turn the order of phrases around, and function words prove nothing.
+   (by idf) that stands within ``SPAN`` words; all pieces together must reach ``COVERAGE`` of the item's weight, and
+   below ``STRONG`` also ``ORDER`` times what they reach in the text read backwards, where only chance finds them.  So
+   paraphrases are found that replace words or turn the order of phrases around, and shared words alone prove nothing.
 
 The benchmark is the stated query set: its words and passages are held by the driver and sent to the tasks in
 blocks of ``BLOCK`` passages, each with a latent space of its own over its own words (step 2 runs once), so what is
@@ -46,9 +47,9 @@ BLOCK = 256
 EXTRA, OVER = 32, 16
 RANK = 192
 ENERGY = 0.9
-COSINE = 0.25
-PIECE, SPAN = 8, 16
-COVERAGE = 0.4
+COSINE = 0.4
+PIECE, SPAN = 8, 12
+COVERAGE, STRONG, ORDER = 0.35, 0.6, 1.3
 ANSWER = 0.25
 LEAST = 5
 SLICES = 16
@@ -126,6 +127,13 @@ class Item:
             sums.append(best)
         return sum(sums) / self.total
 
+    def held(self, near: list[int]) -> float:
+        """The coverage if the text holds the item, else 0."""
+        share = self.coverage(near)
+        if share < COVERAGE - 1e-9 or share < STRONG - 1e-9 and share < ORDER * self.coverage(near[::-1]):
+            return 0.0
+        return share
+
 
 class Tokens:
     """Word ids of a block of texts, 0 for words that no benchmark item has."""
@@ -323,8 +331,8 @@ class Query:
                 continue
             if sum(v for x, v in zip(own.ids, own.weights, strict=True) if x in there) < (COVERAGE - 1e-9) * own.total:
                 continue
-            share = own.coverage(near)
-            if share >= COVERAGE - 1e-9 and share > out[doc].get(own.item_id, (0.0, 0.0))[1]:
+            share = own.held(near)
+            if share > out[doc].get(own.item_id, (0.0, 0.0))[1]:
                 out[doc][own.item_id] = (min(1.0, c), min(1.0, share))
 
 
