@@ -116,17 +116,30 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def publish(fs, files: list[tuple[str, str]]) -> None:
-    """Give a task's finished files their names, at its end: one that is lost before leaves nothing that is read.
+# ------------------------------------------------------------------------- manifests
+def manifest(folder: str) -> str:
+    """Where the names of a folder's finished archives are written, as a table (archive, ...).
 
-    A task that runs again writes the same names, and what it finds there goes.
+    A task names its files after its attempt and returns the names as rows, so the table holds those of the attempts
+    that the job took, and what lost or repeated attempts left behind is never read.
     """
-    for own, name in files:
-        try:
-            fs.move(own, name)
-        except OSError:  # not every file system moves onto a file
-            fs.delete_file(name)
-            fs.move(own, name)
+    return f"{folder.rstrip('/')}-manifest"
+
+
+def archives(folder: str, suffix: str) -> list[tuple[str, int]]:
+    """(path, size) of a folder's archives by name: those of its manifest, or all where it has none."""
+    from pyarrow import dataset
+    from pyarrow import fs as pafs
+
+    fs, top = open_fs(folder)
+    found = {x.base_name: (x.path, x.size) for x in fs.get_file_info(pafs.FileSelector(top)) if x.is_file and x.base_name.endswith(suffix) and not x.base_name.startswith("_")}
+    listed = open_fs(manifest(folder))[1]
+    if fs.get_file_info(listed).type == pafs.FileType.Directory:
+        names = dataset.dataset(listed, filesystem=fs, format="parquet").to_table(columns=["archive"])["archive"].to_pylist()
+        if absent := sorted(set(names) - found.keys()):
+            raise FileNotFoundError(f"{folder}: {absent[:3]} of the manifest")
+        return [found[x] for x in sorted(names)]
+    return [found[x] for x in sorted(found)]
 
 
 # --------------------------------------------------------------------------- samples
@@ -238,6 +251,16 @@ def mix32(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mix32_other(x: np.ndarray) -> np.ndarray:
+    """Another bijection on 32 bits, in place."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits, in place."""
     x ^= x >> np.uint64(30)

@@ -117,11 +117,13 @@ def decode(media: bytes) -> tuple[np.ndarray, int | None]:
 
 
 def features(image: np.ndarray) -> str:
-    """Size, mean of each channel and an 8 x 8 average hash."""
+    """Size, mean of each channel and an average hash: which of 8 x 8 blocks are brighter than the whole."""
     h, w, _ = image.shape
     mean = image.reshape(-1, 3).sum(0, dtype=np.int64) * 1000 // (h * w)
-    gray = image[np.arange(8) * h // 8][:, np.arange(8) * w // 8].sum(2, dtype=np.int64)
-    bits = "".join("1" if v * 64 > gray.sum() else "0" for v in gray.ravel())
+    rows, cols = np.arange(8) * h // 8, np.arange(8) * w // 8
+    blocks = np.add.reduceat(np.add.reduceat(image.sum(2, dtype=np.int64), rows, 0), cols, 1)
+    size = np.outer(np.maximum(1, np.diff(np.append(rows, h))), np.maximum(1, np.diff(np.append(cols, w))))
+    bits = "".join("1" if x else "0" for x in (blocks * (h * w) > int(image.sum(dtype=np.int64)) * size).ravel())
     return f"png:{w}x{h}:{mean[0]},{mean[1]},{mean[2]}:{int(bits, 2):016x}"
 
 
@@ -137,22 +139,22 @@ def write_archives(rows: DataFrame, folder: str, key: str, text: str, archive_by
         fs, top = common.open_fs(folder)
         members = total = 0
         sink = archive = None
-        done: list[tuple[str, str]] = []
+        done: list[tuple[str, int, int]] = []
 
         def close() -> None:
-            nonlocal sink, archive
+            nonlocal sink, archive, members, total
             if archive is not None:
                 archive.close()
                 sink.close()
-                done.append((own, f"{top}/part-{part:06d}-{len(done):05d}.zip"))
-                sink = archive = None
+                done.append((own, members, total))
+                sink, archive, members, total = None, None, 0, 0
 
         for batch in batches:
             for k, t in zip(batch.column(0), batch.column(1), strict=True):
                 media = encode((t.as_py() or "").encode("utf-8", "surrogatepass"))
                 if archive is None:
-                    own = f"{top}/_{part:06d}-{attempt}-{len(done)}.zip"
-                    sink = fs.open_output_stream(own, compression=None)
+                    own = f"part-{part:06d}-{attempt}-{len(done):05d}.zip"
+                    sink = fs.open_output_stream(f"{top}/{own}", compression=None)
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
                 name = zipfile.ZipInfo(f"{members:09d}/{k.as_py()}.png", (1980, 1, 1, 0, 0, 0))
                 archive.writestr(name, media)
@@ -161,11 +163,13 @@ def write_archives(rows: DataFrame, folder: str, key: str, text: str, archive_by
                 if sink.tell() >= archive_bytes:
                     close()
         close()
-        common.publish(fs, done)
-        yield pa.RecordBatch.from_pydict({"archives": pa.array([len(done)], pa.int64()), "members": pa.array([members], pa.int64()), "bytes": pa.array([total], pa.int64())})
+        yield pa.RecordBatch.from_pydict({n: pa.array([x[k] for x in done], t) for k, (n, t) in enumerate((("archive", pa.string()), ("members", pa.int64()), ("bytes", pa.int64())))})
 
-    done = rows.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, "archives long, members long, bytes long")
-    return done.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in done.columns)).first().asDict()
+    table = common.manifest(folder)
+    done = rows.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, "archive string, members long, bytes long")
+    done.write.mode("overwrite").parquet(table)
+    done = rows.sparkSession.read.schema("archive string, members long, bytes long").parquet(table)
+    return done.agg(F.count("*").alias("archives"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("members", "bytes"))).first().asDict()
 
 
 # ---------------------------------------------------------------------------- source
@@ -196,16 +200,11 @@ class MediaReader(DataSourceReader):
         self.tries = int(options.get("tries", TRIES))
 
     def partitions(self):
-        """Byte ranges over the complete archives (names with a leading underscore are unfinished)."""
-        from pyarrow import fs as pafs
-
-        fs, top = common.open_fs(self.folder)
-        found = fs.get_file_info(pafs.FileSelector(top))
+        """Byte ranges over the archives of the folder's manifest."""
         return [
-            ByteRange(x.path, at, min(at + self.range_bytes, x.size))
-            for x in sorted(found, key=lambda x: x.path)
-            if x.is_file and x.base_name.endswith(".zip") and not x.base_name.startswith("_")
-            for at in range(0, x.size, self.range_bytes)
+            ByteRange(path, at, min(at + self.range_bytes, size))
+            for path, size in common.archives(self.folder, ".zip")
+            for at in range(0, size, self.range_bytes)
         ] or [ByteRange("", 0, 0)]
 
     def _retried(self, what):

@@ -37,6 +37,7 @@ BANDS, ROWS = 20, 4
 SHINGLE, PERCENT = 5, 80
 CELL = 1 << 18
 PIVOTS = 64
+WIDE = 8
 TILE = 1 << 14
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _TABLE: dict[bytes, int] = {}
@@ -74,7 +75,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     sigma = common.mix32((flat >> np.uint64(32)).astype(np.uint32) ^ flat.astype(np.uint32) * np.uint32(0x85EBCA6B))
     signature = np.empty((BANDS * ROWS, len(sets)), np.uint32)
     for k in range(BANDS * ROWS):
-        signature[k] = np.minimum.reduceat(common.mix32(sigma - np.uint32(k + 1)), cut)
+        signature[k] = np.minimum.reduceat(common.mix32_other(sigma - np.uint32(k + 1)), cut)
     keys = np.empty((len(sets), BANDS), np.uint64)
     for b in range(BANDS):
         h = np.full(len(sets), b + 1, np.uint64)
@@ -214,8 +215,11 @@ def _met(own: DataFrame, cells: DataFrame, size: int, percent: int, repeated: bo
     return verified(texts.repartition("cell").sortWithinPartitions("cell"), size, percent)
 
 
-def _group_links(own: DataFrame, coarse: DataFrame, reps: DataFrame, scratch: common.Scratch, size: int, percent: int, repeated: bool) -> DataFrame:
-    """Links (a, b) whose components are those of all links between sets of a coarse group."""
+def _group_links(own: DataFrame, coarse: DataFrame, rows: DataFrame | None, reps: DataFrame, scratch: common.Scratch, size: int, percent: int, repeated: bool) -> DataFrame:
+    """Links (a, b) whose components are those of all links between sets of a coarse group.
+
+    ``rows``: (id, key) of all buckets, into which groups with too many unlinked sets fall apart (None: they don't).
+    """
     member = coarse.join(reps.select(F.col("rep").alias("node"), "n"), "node").withColumnRenamed("component", "grp")
     weight = member.groupBy("grp").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("g"), F.count("*").alias("m"))
     weight = scratch.keep(weight, "weight")
@@ -240,6 +244,19 @@ def _group_links(own: DataFrame, coarse: DataFrame, reps: DataFrame, scratch: co
     tops = scratch.keep(tops.select("grp", F.col("top.part").alias("top")), "tops")
     rest = large.join(tops, "grp").where(F.col("part") != F.col("top"))
     share = scratch.keep(rest.groupBy("grp").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("h")), "share")
+    within = found
+    if rows is not None:
+        wide = share.where(F.col("h") > WIDE).select("grp")
+        if not wide.limit(1).isEmpty():
+            chained = large.join(wide, "grp").select(F.col("node").alias("id"))
+            buckets = rows.join(chained, "id").groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"))
+            # buckets with the same sets are compared once
+            once = buckets.where("m > 1").groupBy("m", "s").agg(F.min("key").alias("key")).select("key")
+            apart = rows.join(once, "key").join(chained, "id").select(F.col("id").alias("node"), F.col("key").alias("component"))
+            apart = scratch.keep(apart, "apart")
+            deep = common.Scratch(scratch.spark, "minhash-buckets")
+            within = found.unionByName(_group_links(own, apart, None, reps, deep, size, percent, repeated))
+            share = scratch.keep(share.where(F.col("h") <= WIDE), "narrow")
     cell = F.xxhash64("grp", F.lit("rest"), "i", "q").alias("cell")
     asks = rest.join(share, "grp").withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("h")).cast("int"))
     asks = asks.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(F.col("node").alias("id"), F.lit(True).alias("asked"), cell)
@@ -249,7 +266,7 @@ def _group_links(own: DataFrame, coarse: DataFrame, reps: DataFrame, scratch: co
     cells = scratch.keep(asks.unionByName(told).groupBy("id", "cell").agg(F.bool_or("asked").alias("asked")), "cells")
     more = scratch.keep(_met(own, cells, size, percent, repeated), "more")
     scratch.drop("cells", "large", "tops", "share", "member", "weight")
-    return found.unionByName(more)
+    return within.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -269,10 +286,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     buckets = scratch.keep(buckets, "buckets")
     edges = rows.join(buckets, "key").where("id <> b").select(F.col("id").alias("a"), "b")
     coarse = graph.components(edges, scratch, "coarse")
-    scratch.drop("buckets", "picked")
+    scratch.drop("buckets")
 
-    fine = graph.components(_group_links(own, coarse, reps, scratch, size, percent, _repeated(found)), scratch, "fine")
-    scratch.drop("links", "more")
+    fine = graph.components(_group_links(own, coarse, rows, reps, scratch, size, percent, _repeated(found)), scratch, "fine")
+    scratch.drop("links", "more", "picked", "apart", "narrow")
 
     named = reps.join(fine.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     named = scratch.keep(named, "named")

@@ -2,9 +2,12 @@
 
 Where no piece of the vocabulary holds a whitespace marker after another character, no merge can cross
 from a word to the marker of the next one, so a text splits into marked words that can be segmented one
-by one.  Every task keeps a table of the distinct marked words it has met, segments each of them once
-and joins the ids back by position.  The table is bounded by ``TABLE_CHARS`` and starts anew beyond it,
-so memory doesn't depend on the corpus, and no word is ever shuffled.
+by one.  Every worker keeps a table of the distinct marked words it has met, each segmented once by the library and
+decoded once by its ``decode(ids)``; a text's ids are those of its words, joined by position.  Every word begins with a
+piece that is a marker, so a text decodes to its words' decoded texts one after another; only texts with a word that
+does not decode to itself (unknown characters) are decoded as a whole.  The table is bounded by ``TABLE_CHARS`` and
+starts anew beyond it, so memory doesn't depend on the corpus, and no word is ever shuffled.  One table for all tasks would
+need every word of every text sent twice, or a table that grows with the corpus in each worker.
 
 Edge cases: a null text counts as empty; an empty text has no ids and decodes to an empty text; texts of
 any length are handled whole; repeated rows are kept; an empty table gives an empty result.  The columns
@@ -58,26 +61,57 @@ class ChunkCodec:
             and not any(p.type == 4 for p in spec.pieces)  # user-defined symbols are matched before the merges
         )
         self.mark = self.sp.piece_to_id(MARK)
+        self.by_chunk = self.by_chunk and self.mark != self.sp.unk_id()
+        # what each piece stands for, in bytes of the text; an unknown character fits no count and takes the slower way
+        self.bytes_of = np.array([1 if p.type == 6 else 1 << 40 if p.type == 2 else len(p.piece.encode()) for p in spec.pieces], np.int64)
         self.table: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # chunks of the table that don't decode to themselves
         self.size, self.most = 0, table_chars
 
     def encode(self, text: str) -> np.ndarray:
+        return self.both(text)[0]
+
+    def both(self, text: str) -> tuple[np.ndarray, str]:
+        """The ids of a text, and the text that they decode to."""
         if not text:
-            return np.zeros(0, np.int32)
+            return np.zeros(0, np.int32), ""
         if not self.by_chunk:
-            return np.array(self.sp.encode(text), np.int32)
+            ids = self.sp.encode(text)
+            return np.array(ids, np.int32), self.sp.decode(ids)
         chunks = _CHUNK.findall(" " + text)
-        table = self.table
-        missing = [c for c in set(chunks) if c not in table]
+        own, table = set(chunks), self.table
+        missing = own.difference(table)
         if missing:
             if self.size > self.most:
                 table.clear()
-                self.size, missing = 0, list(set(chunks))
-            for chunk, ids in zip(missing, self.sp.encode([c[1:] for c in missing], num_threads=1), strict=True):
-                # a lone marker is the library's prefix of an empty text, which it would leave out
-                table[chunk] = np.array(ids if len(chunk) > 1 else [self.mark], np.int32).tobytes()
-                self.size += len(chunk) + 8
-        return np.frombuffer(b"".join(map(table.__getitem__, chunks)), np.int32)
+                self.odd.clear()
+                self.size, missing = 0, own
+            self._segment(list(missing))
+        ids = np.frombuffer(b"".join(map(table.__getitem__, chunks)), np.int32)
+        return ids, text.replace(MARK, " ") if self.odd.isdisjoint(own) else self.decode(ids)
+
+    def _segment(self, chunks: list[str]) -> None:
+        """Segments new chunks as one text, as no piece crosses from one to the next; bytes tell where each ends."""
+        text = "".join(chunks)
+        if len(text) > 1:
+            found = self.sp.encode(text[1:])  # the library puts a marker before a text
+            ids = np.array(found, np.int32)
+            size = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum([len(c.encode()) + 2 * c.count(" ") for c in chunks])
+            cut = np.searchsorted(size, ends) + 1
+            if cut[-1] == len(ids) and (size[cut - 1] == ends).all() and self.sp.decode(found) == text[1:].replace(MARK, " "):
+                raw, cut = ids.tobytes(), (cut * 4).tolist()
+                for chunk, lo, hi in zip(chunks, [0, *cut], cut):
+                    self.table[chunk] = raw[lo:hi]
+                    self.size += len(chunk) + 8
+                return
+        # a lone marker is the library's prefix of an empty text, which it would leave out
+        found = [ids if len(chunk) > 1 else [self.mark] for chunk, ids in zip(chunks, self.sp.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
+        for chunk, ids, back in zip(chunks, found, self.sp.decode(found), strict=True):
+            self.table[chunk] = np.array(ids, np.int32).tobytes()
+            self.size += len(chunk) + 8
+            if back != chunk[1:].replace(MARK, " "):
+                self.odd.add(chunk)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.sp.decode(ids.tolist()) if len(ids) else ""
@@ -115,11 +149,9 @@ def encode_decode(
         c = codec(model_file)
         for batch in batches:
             for start, texts in common.blocks(batch.column(at).to_pylist(), 1 << 21):
-                ids = [c.encode(t) for t in texts]
+                ids, back = zip(*map(c.both, texts))
                 cols = batch.slice(start, len(texts)).columns
-                yield pa.RecordBatch.from_arrays(
-                    [*cols, _lists(ids), pa.array([c.decode(i) for i in ids], pa.string())], names=schema.names
-                )
+                yield pa.RecordBatch.from_arrays([*cols, _lists(list(ids)), pa.array(back, pa.string())], names=schema.names)
 
     return own.mapInArrow(run, schema)
 

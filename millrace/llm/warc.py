@@ -170,28 +170,27 @@ def write_warc(
         writer, done, size, records = None, [], 0, 0
 
         def close() -> None:
-            nonlocal writer, size
+            nonlocal writer, size, records
             if writer is not None:
                 writer.close()
-                done.append((own, f"{top}/part-{part:06d}-{len(done):05d}.warc.zst"))
-                writer, size = None, 0
+                done.append((own, records))
+                writer, size, records = None, 0, 0
 
         for batch in batches:
             for k, u, p, r in zip(*batch.columns, strict=True):
                 data = record(k.as_py(), u.as_py(), (p.as_py() or "").encode("utf-8", "surrogatepass"), r.as_py(), r.is_valid)
                 if writer is None:
-                    own = f"{top}/_{part:06d}-{attempt}-{len(done)}"
-                    writer = Writer(fs.open_output_stream(own, compression=None))
+                    own = f"part-{part:06d}-{attempt}-{len(done):05d}.warc.zst"
+                    writer = Writer(fs.open_output_stream(f"{top}/{own}", compression=None))
                 writer.add(data)
                 records += 1
                 size += len(data)
                 if size >= archive_bytes:
                     close()
         close()
-        common.publish(fs, done)
-        yield pa.RecordBatch.from_pydict({"records": pa.array([records], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"archive": pa.array([x for x, _ in done], pa.string()), "records": pa.array([n for _, n in done], pa.int64())})
 
-    rows.mapInArrow(run, "records long").agg(F.sum("records")).collect()
+    rows.mapInArrow(run, "archive string, records long").write.mode("overwrite").parquet(common.manifest(folder))
     scratch.drop("groups")
     return folder
 
@@ -229,13 +228,10 @@ _ARROW = pa.schema([("key", pa.int64()), ("url", pa.string()), ("record_type", p
 
 def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """The records of all archives in a folder; every response's payload is verified against its digest."""
-    from pyarrow import fs as pafs
-
-    fs, top = common.open_fs(folder)
-    names = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(top)) if x.base_name.endswith(".warc.zst") and not x.base_name.startswith("_"))
-    paths = spark.createDataFrame([(n,) for n in names], "path string")
-    if names:
-        paths = paths.repartition(len(names), "path")
+    names = [path for path, _ in common.archives(folder, ".warc.zst")]
+    paths = spark.createDataFrame(list(enumerate(names)), "n int, path string")
+    # a task for each archive
+    paths = (paths.repartitionById(len(names), F.col("n")) if names else paths).select("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = common.open_fs(folder)

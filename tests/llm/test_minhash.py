@@ -125,3 +125,29 @@ def test_sieve(spark):
     assert got >= set(range(0, 10000, 100)) and len(got) < 2000
     assert common.sieve(rows, wanted.where("id < 0"), "id").count() == 0
     assert common.sieve(rows, wanted, "id", most=1 << 12).where(F.col("id") % 100 == 0).count() == 100
+
+
+def test_chain_of_half_alike_sets(spark, documents, data_dir, monkeypatch):
+    """Thousands of sets, each of similarity 0.65 with the next and 0.4 with the one after it: what is sent grows with their number, not its square."""
+    monkeypatch.setattr(minhash, "CELL", 2048)
+    monkeypatch.setattr(minhash, "WIDE", 4)
+    sent = []
+    met = minhash._met
+
+    def counted(own, cells, *rest):
+        sent.append(cells.count())
+        return met(own, cells, *rest)
+
+    monkeypatch.setattr(minhash, "_met", counted)
+    words = [f"w{k}" for k in range(14 * 1600 + 90)]
+    texts = [" ".join(words[14 * k : 14 * k + 69]) for k in range(1600)]
+    texts += [" ".join(words[14 * k : 14 * k + 66]) for k in range(0, 1600, 40)]  # linked with one of them each
+    got = {r.doc_id: r.component_id for r in minhash.op1_minhash(spark, data_dir(documents=documents(texts))).collect()}
+    assert got == {k: k for k in range(1600)} | {1600 + n: k for n, k in enumerate(range(0, 1600, 40))}
+    assert len(sent) > 1 and sum(sent) < 30 * len(texts), sent
+
+
+def test_permutations_differ():
+    x = np.arange(1000, dtype=np.uint32)
+    assert (common.mix32(x.copy()) != common.mix32_other(x.copy())).mean() > 0.99
+    assert len(np.unique(common.mix32_other(x.copy()))) == 1000

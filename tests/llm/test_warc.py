@@ -80,3 +80,20 @@ def test_dictionary_is_in_front():
     damaged = warc.record(1, None, b"abc", None, False).replace(b"abc", b"abd")
     with pytest.raises(ValueError):
         warc.parse(damaged)
+
+
+def test_only_archives_of_the_manifest_are_read(spark):
+    """What another attempt of a task left behind is not read; a named archive that is gone is an error."""
+    import glob
+    import os
+    import shutil
+
+    pages = spark.createDataFrame([(k, f"http://a/{k}", f"page {k}") for k in range(20)], "page_id long, url string, html string").repartition(2)
+    scratch = common.Scratch(spark, "test-warc")
+    folder = warc.write_warc(pages, scratch, "page_id", "url", "html")
+    own = sorted(glob.glob(f"{common.open_fs(folder)[1]}/*.warc.zst"))
+    shutil.copy(own[0], own[0].replace("part-", "part-9"))
+    assert warc.read_warc(spark, folder).count() == 20
+    os.remove(own[0])
+    with pytest.raises(FileNotFoundError):
+        warc.read_warc(spark, folder)
