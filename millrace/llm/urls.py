@@ -20,11 +20,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import tempfile
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,7 @@ from pyspark.sql import types as T
 from . import common
 
 DEFAULT = "allow"
+SHARD_ROWS = 1 << 20
 #: (host and path, verdict)
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,8 +58,8 @@ def digest(entries: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(e) for e in entries], np.uint64).view(np.int64)
 
 
-def build(rules: DataFrame, folder: str, shards: int = 1) -> None:
-    """Write the index of ``rules`` (rule, verdict) to ``folder``."""
+def build(rules: DataFrame, folder: str, shards: int | None = None) -> None:
+    """Write the index of ``rules`` (rule, verdict) to ``folder``: a shard for every ``SHARD_ROWS`` rules, or ``shards``."""
     fields = "key long, rule string, verdict string"
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,6 +69,7 @@ def build(rules: DataFrame, folder: str, shards: int = 1) -> None:
 
     clean = rules.where(F.col("rule").isNotNull() & F.col("verdict").isNotNull()).select("rule", "verdict")
     once = clean.groupBy("rule").agg(F.max("verdict").alias("verdict"))
+    shards = shards or max(1, -(-clean.count() // SHARD_ROWS))
     ranged = once.mapInArrow(keyed, fields).repartitionByRange(shards, "key").sortWithinPartitions("key", "rule")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +108,7 @@ class Index:
         from pyarrow import fs as pafs
 
         self.fs, self.top = common.open_fs(folder)
+        self.copies: str | None = None
         with self.fs.open_input_stream(f"{self.top}/lengths.json") as f:
             lengths = json.loads(f.read())
         self.hosts, self.paths = set(lengths["host"]), lengths["path"]
@@ -115,8 +121,11 @@ class Index:
         from pyarrow import fs as pafs
 
         where = f"{self.top}/{name}"
-        if not isinstance(self.fs, pafs.LocalFileSystem):  # mapping needs a local copy
-            own = os.path.join(tempfile.mkdtemp(prefix="millrace-urls-"), name)
+        if not isinstance(self.fs, pafs.LocalFileSystem):  # mapping needs a local copy, in the executor's own folder
+            if self.copies is None:
+                self.copies = tempfile.mkdtemp(prefix="urls-", dir=SparkFiles.getRootDirectory())
+                weakref.finalize(self, shutil.rmtree, self.copies, True)  # with the worker at the latest
+            own = os.path.join(self.copies, name)
             pafs.copy_files(where, own, source_filesystem=self.fs)
             where = own
         return np.memmap(where, kind, "r")

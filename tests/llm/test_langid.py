@@ -58,3 +58,42 @@ def test_rare_languages_are_learned(spark):
     hot = [(999999, "abc def", "en")] * 20000
     model = langid.trained(spark.createDataFrame(common + rare + hot, "doc_id long, text string, lang string"), 500)
     assert model.langs == ["en", "de"] and model.predict(["jagen viktor quer"])[0][0] == "de"
+
+
+def brute(model, text):
+    """Language and score of a text n-gram by n-gram, from the definition."""
+    s = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+    if not s.strip():
+        return "und", 0.0
+    hits, n = [0] * len(model.langs), 0
+    for k in langid.SIZES:
+        for i in range(len(s) - k + 1):
+            if " " in s[i + 1 : i + k - 1]:
+                continue
+            h = k
+            for c in s[i : i + k]:
+                h = (h * 0x100000001B3 + ord(c)) % 2**64
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                h = (h ^ h >> shift) * factor % 2**64
+            h ^= h >> 31
+            a, b, n = h % langid.SLOTS, h >> 32 | 1, n + 1
+            bits = -1
+            for j in range(langid.HASHES):
+                bits &= int(model.planes[0][(a + j * b) % 2**64 % langid.SLOTS])
+            for lang in range(len(hits)):
+                hits[lang] += bits >> lang & 1
+    right = [max(0.0, (x - n * f) / (1 - f)) for x, f in zip(hits, model.rate.tolist())]
+    best = max(range(len(right)), key=lambda k: (right[k], -k))
+    return model.langs[best], right[best] / sum(right) if sum(right) else 0.0
+
+
+def test_whole_query_by_definition(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.trained(docs)
+    texts = {r.doc_id: r.text for r in docs.collect() if len(r.text) < 6000}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.op8_language(spark, sf).collect()}
+    for k, t in texts.items():
+        lang, score = brute(model, t)
+        assert got[k][0] == lang and abs(got[k][1] - score) < 1e-9
+    for t in ["", "12 34", "Été fin", "a", "don't"]:
+        assert model.predict([t])[0][0] == brute(model, t)[0]

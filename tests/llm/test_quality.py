@@ -90,3 +90,46 @@ def test_both_classes_are_told_apart(spark):
     shares = [sum(p == y == c for p, y in held) / sum(y == c for _, y in held) for c in (0, 1)]
     print(f"right of low and of high quality: {shares}")
     assert min(shares) >= 0.9
+
+
+def mixed(x):
+    """The mixing of one 32-bit number."""
+    x ^= x >> 16
+    x = x * 0x7FEB352D & 0xFFFFFFFF
+    x ^= x >> 15
+    x = x * 0x846CA68B & 0xFFFFFFFF
+    return x ^ x >> 16
+
+
+def brute(model, text):
+    """The score of a text gram by gram, from the definition."""
+    white, mask, p = set("\t\n\x0b\x0c\r \x85\xa0"), len(model.table) - 1, 0x01000193
+    s = f" {text or ''} "
+    found = []
+    for k in (3, 4, 5):
+        for i in range(len(s) - k + 1):
+            if not any(c in white for c in s[i + 1 : i + k - 1]):
+                found.append(mixed((k + sum(ord(c) * p**j for j, c in enumerate(s[i : i + k]))) & 0xFFFFFFFF) & mask)
+    words, own = [], ""
+    for c in s:
+        if c not in white:
+            own += c
+        elif own:
+            words.append(sum(ord(x) * p**j for j, x in enumerate(own)) & 0xFFFFFFFF)
+            own = ""
+    found += [mixed((w + 77) & 0xFFFFFFFF) & mask for w in words]
+    found += [mask if a == b else mixed((a * 0x9E3779B1 + b) & 0xFFFFFFFF) & mask for a, b in zip(words, words[1:])]
+    z = sum(float(model.table[g]) for g in found) / max(1, len(found)) + model.bias
+    return 1 / (1 + np.exp(-z))
+
+
+def test_whole_query_by_definition(spark, sf, odd, documents):
+    d, y = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.trained(d, y)
+    got = {r.doc_id: r.score for r in quality.op7_quality(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in d.collect()}
+    short = [k for k, t in texts.items() if len(t) < 6000]
+    assert len(short) > 100 and all(abs(got[k] - brute(model, texts[k])) < 1e-4 for k in short)
+    small = [t for t in odd if t is None or len(t) < 100]
+    scored = {r.doc_id: r.score for r in quality.score(documents(small), model).collect()}
+    assert all(abs(scored[k] - brute(model, t)) < 1e-4 for k, t in enumerate(small))
