@@ -1,4 +1,10 @@
-"""A cleaning pipeline for a training corpus: five stages, each written as Parquet and read by the next."""
+"""A cleaning pipeline for a training corpus: five stages, each written as Parquet and read by the next.
+
+Edge cases: rows without an id pass all stages as rows of their own; null and empty texts are judged as texts without
+words (quality by the bias alone, no near copies, no benchmark item, no secret, no ids); repeated rows are
+treated alike; extra columns pass through, but ``ids`` and ``decoded`` are the last stage's own; an
+empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from . import common
 
 HELD = 1 << 20
+HUB = 1 << 20  # a node with more edges is several join keys
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +64,8 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFram
     among its own and its neighbours', and follows that label's own label; rounds end when no label changes.
     Labels are written to the shared folder after each round, so a lost executor costs one round at most.
     """
-    # few tasks with many edges each contract best; their number follows the cluster, not the input's files
-    tasks = max(2, scratch.spark.sparkContext.defaultParallelism)
+    # few tasks with many edges each contract best; their number follows the cluster, or the shuffle where executors come and go
+    tasks = max(2, scratch.spark.sparkContext.defaultParallelism, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")) // 64)
     forests = scratch.keep(contracted(edges.coalesce(tasks)), f"{name}-forests")
     # a node has one root per task at most; it keeps the smallest, and the other roots are tied to that one
     rooted = forests.withColumn("m", F.min("b").over(Window.partitionBy("a")))
@@ -72,13 +73,21 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFram
     e = scratch.keep(tied.select("e.a", "e.b").where("a <> b").distinct(), f"{name}-edges")
     scratch.drop(f"{name}-forests")
     both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # a hub's edges are dealt over several keys, each with a copy of its label; hubs are fewer than edges / HUB
+    hubs = both.groupBy("b").agg(F.ceil(F.count("*") / HUB).cast("int").alias("k")).where("k > 1")
+    hubs = scratch.keep(hubs, f"{name}-hubs")
+    some = not hubs.limit(1).isEmpty()
+    dealt = both.join(F.broadcast(hubs), "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), "k"), F.lit(0)).cast("int").alias("s")) if some else both
     near = both.groupBy("a").agg(F.min("b").alias("m"))
     labels = scratch.keep(near.select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-0")
     k = 0
     while True:
         # a node offers its label to its neighbours and to the node that its label names
+        told = labels.withColumnRenamed("node", "b")
+        if some:
+            told = told.join(F.broadcast(hubs), "b", "left").select("b", "label", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("s"))
         offers = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
+            dealt.join(told, ["b", "s"] if some else ["b"])
             .select(F.col("a").alias("node"), "label")
             .unionByName(labels)
             .groupBy("node")
@@ -92,5 +101,5 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFram
         scratch.drop(f"{name}-{k}", f"{name}-offers-{k}")
         labels, k = new, k + 1
         if not changed:
-            scratch.drop(f"{name}-edges")
+            scratch.drop(f"{name}-edges", f"{name}-hubs")
             return labels.withColumnRenamed("label", "component")

@@ -105,9 +105,11 @@ def test_links(sets, percent):
     assert [got.get(i, i) for i in range(len(sets))] == label
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [1 << 20, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
     rng = random.Random(6)
-    edges = [(k, k + 1) for k in range(100, 180)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(40)] + [(5, 5), (2, 1), (2, 1)]
+    edges = [(k, k + 1) for k in range(100, 180)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(40)] + [(5, 5), (2, 1), (2, 1)] + [(500, 501 + k) for k in range(40)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
     label = {x: x for e in edges for x in e}
     for _ in range(200):
