@@ -135,12 +135,14 @@ class Writer:
 def marked(pages: DataFrame, scratch: common.Scratch, key: str, payload: str, min_bytes: int) -> DataFrame:
     """``pages`` with ``_refers_to``: the id of the response with the same payload, null for responses.
 
-    Ids are compared by payload digest.  Only digests with several rows matter; they are counted with
+    Payloads are compared by digest and length.  Only digests with several rows matter; they are counted with
     partial aggregation, and joined by broadcast while they are few, else by a shuffle of two written
     tables whose large partitions adaptive execution can split.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    keyed = pages.withColumn("_digest", F.when(F.octet_length(body) >= min_bytes, F.unhex(F.sha1(body))))
+    size = F.octet_length(body)
+    # SHA-1 and length together, as one column of 24 bytes or so
+    keyed = pages.withColumn("_digest", F.when(size >= min_bytes, F.concat(F.unhex(F.sha1(body)), size.cast("string").cast("binary"))))
     groups = (
         keyed.where(F.col("_digest").isNotNull())
         .groupBy("_digest")
