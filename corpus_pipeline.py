@@ -36,4 +36,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        common.tidy(spark)
     return docs

@@ -67,6 +67,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver give back what earlier jobs held, and Spark's cleaner their shuffles and broadcasts."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Written tables in the shared folder: they cut lineage and survive a lost executor.
 
@@ -75,6 +80,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         small_batches(spark)
+        tidy(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/millrace-{label}-{uuid.uuid4().hex[:12]}"
         path, fs = self._fs(self.root)

@@ -134,7 +134,11 @@ def fit(
     w, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     for _, texts in common.blocks([t for t, _ in rows]):
-        grams += Grams(texts, buckets).by_text()
+        own = Grams(texts, buckets).by_text()
+        # one array for a block's texts: half the size, and given back to the system when the fit is done
+        ids, shares = np.concatenate([i for i, _ in own]).astype(np.uint32), np.concatenate([s for _, s in own])
+        cut = np.cumsum([0, *(len(i) for i, _ in own)])
+        grams += [(ids[a:b], shares[a:b]) for a, b in zip(cut, cut[1:])]
     y = [label for _, label in rows]
     epochs = max(epochs, -(-least_steps // max(1, len(rows))))
     steps, done = max(1, epochs * len(rows)), 0
